@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from .common import table
+from .packing import pack
 from .sharding import shard_documents
 from .simhash import near_duplicates
+from .tokenfile import token_files
+from .tokens import vocabulary
 
 
 def op1_simhash(spark, sf_dir):
@@ -15,5 +18,13 @@ def op2_sharding(spark, sf_dir):
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_sharding": op2_sharding}
+def op5_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source_queue")
+
+
+def op9_token_files(spark, sf_dir):
+    return token_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_sharding": op2_sharding, "op5_packing": op5_packing, "op9_token_files": op9_token_files}
 ORACLES: dict[str, str] = {}
