@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,10 +55,22 @@ def as_bytes(column: pa.Array) -> list:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
-def pieces(batch: pa.RecordBatch, rows: int = 512):
-    """Slices of a batch, so that what is derived from texts stays small."""
-    for k in range(0, batch.num_rows, rows):
-        yield batch.slice(k, rows)
+def pieces(batch: pa.RecordBatch, text: int | None = None, rows: int = 512, most_bytes: int = 1 << 22):
+    """Slices of a batch of `rows` rows and, where a text column is named, about `most_bytes` of text (a longer text comes alone)."""
+    if text is None:
+        cuts = [*range(0, batch.num_rows, rows), batch.num_rows]
+    else:
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
+        cuts, held = [0], 0
+        for k, n in enumerate(sizes):
+            if k > cuts[-1] and (held + n > most_bytes or k - cuts[-1] >= rows):
+                cuts.append(k)
+                held = 0
+            held += n
+        cuts.append(batch.num_rows)
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
 
 
 def text_or_empty(c: str | Column) -> Column:

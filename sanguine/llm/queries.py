@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from . import chat
 from .common import table
+from .decontaminate import overlaps
 from .packing import pack
 from .quality import quality_rules
 from .sharding import shard_documents
@@ -30,6 +31,10 @@ def op5_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source_queue")
 
 
+def op7_decontamination(spark, sf_dir):
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_token_files(spark, sf_dir):
     return token_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -40,7 +45,7 @@ def op10_chat(spark, sf_dir):
     return chat.digest(chat.formatted(turns.unionByName(planted)))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_sharding": op2_sharding, "op4_quality": op4_quality, "op5_packing": op5_packing, "op9_token_files": op9_token_files, "op10_chat": op10_chat}
+QUERIES = {"op1_simhash": op1_simhash, "op2_sharding": op2_sharding, "op4_quality": op4_quality, "op5_packing": op5_packing, "op7_decontamination": op7_decontamination, "op9_token_files": op9_token_files, "op10_chat": op10_chat}
 _ESCAPED = "replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '[', '&lb;'), ']', '&rb;')"
 
 ORACLES: dict[str, str] = {
