@@ -109,10 +109,10 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
         end = np.array([end_id], "<u4").tobytes()
         part, at = TaskContext.get().partitionId(), {}
         for batch in batches:
-            for b in pieces(batch):
+            for b in pieces(batch, 2, most_bytes=1 << 21):
                 ids, loc, counts = [], [], []
-                for q, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                    x = tok.ids(text) + end
+                for q, x in zip(b.column(1).to_pylist(), tok.many(b.column(2).to_pylist()), strict=True):
+                    x += end
                     n = len(x) // 4
                     loc.append(at.get(q, 0))
                     at[q] = loc[-1] + n

@@ -8,6 +8,7 @@ from . import chat
 from .common import table
 from .decontaminate import overlaps
 from .packing import pack
+from .pii import find_pii
 from .quality import quality_rules
 from .sharding import shard_documents
 from .simhash import near_duplicates
@@ -31,6 +32,10 @@ def op5_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source_queue")
 
 
+def op6_pii(spark, sf_dir):
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark, sf_dir):
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -45,7 +50,7 @@ def op10_chat(spark, sf_dir):
     return chat.digest(chat.formatted(turns.unionByName(planted)))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_sharding": op2_sharding, "op4_quality": op4_quality, "op5_packing": op5_packing, "op7_decontamination": op7_decontamination, "op9_token_files": op9_token_files, "op10_chat": op10_chat}
+QUERIES = {"op1_simhash": op1_simhash, "op2_sharding": op2_sharding, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_pii": op6_pii, "op7_decontamination": op7_decontamination, "op9_token_files": op9_token_files, "op10_chat": op10_chat}
 _ESCAPED = "replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '[', '&lb;'), ']', '&rb;')"
 
 ORACLES: dict[str, str] = {

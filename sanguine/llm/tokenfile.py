@@ -147,9 +147,9 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = 2, segment_ids: int =
             return pa.RecordBatch.from_arrays([pa.array([part + k]), pa.array([len(names)]), pa.array([held]), pa.array([data], pa.binary())], names=["segment", "n_docs", "n_ids", "data"])
 
         for batch in batches:
-            for b in pieces(batch):
-                for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    x = tok.ids(text) + end
+            for b in pieces(batch, 1, most_bytes=1 << 21):
+                for doc_id, x in zip(b.column(0).to_pylist(), tok.many(b.column(1).to_pylist()), strict=True):
+                    x += end
                     ids.append(x)
                     names.append(doc_id)
                     counts.append(len(x) // 4)

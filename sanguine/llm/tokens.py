@@ -12,12 +12,17 @@ from __future__ import annotations
 
 import re
 from array import array
+from operator import add
 
 #: More than one space within a run of white space.
 _RUN = re.compile(r" \s* ")
+#: White space other than single spaces and line ends.
+_DOUBLE = ("  ", " \n", "\n ", "\n\n")
+_ODD = ("\t", "\r", "\x0b", "\x0c", "\0")
+_ODD_WIDE = re.compile(r"[^\S \n]")
 _SPACE = re.compile(r"[ \t\n\x0b\x0c\r]+")
-#: Letters, then punctuation without the apostrophe: two words of either vocabulary's own splitting.
-_PLAIN = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
+#: Letters, then punctuation without the apostrophe: two words of either vocabulary's own splitting; or anything else.
+_PLAIN = re.compile(r"(?:( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)|([^\0]*))(?:\0|\Z)")
 
 
 def _byte_table() -> dict[int, str]:
@@ -34,44 +39,40 @@ _TABLE = _byte_table()
 class Encoder:
     """ids(text) gives the ids of a text as little-endian unsigned 32-bit integers, in bytes."""
 
-    def __init__(self, path: str, special_is_text: bool = True, most_pieces: int = 1_000_000):
+    def __init__(self, path: str, special_is_text: bool = True, most_pieces: int = 1_500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_is_text
         #: Vocabularies that drop white space need no care for its runs.
         self.spaces = getattr(self.tokenizer, "normalizer", None) is None
-        self.most, self.cache, self.words = most_pieces, {}, {}
+        self.most, self.cache, self.words = most_pieces, {"": b""}, {"": b""}
         self.model = self.tokenizer.model
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _word(self, word: str) -> bytes:
-        if (found := self.words.get(word)) is None:
-            found = self.words[word] = array("I", [t.id for t in self.model.tokenize(word.translate(_TABLE))]).tobytes()
-        return found
-
-    def _pieces(self, new: list[str]) -> None:
+    def _learn(self, new: set[str]) -> None:
         """Puts the ids of new pieces into the cache."""
-        if len(self.cache) + len(self.words) > self.most:
-            self.cache, self.words = {}, {}
-        other = []
-        for p in new:
-            if p in self.cache:
-                continue
-            if m := _PLAIN.fullmatch(p):
-                letters, tail = m[1] if self.spaces else m[1].strip().lower(), m[2]
-                self.cache[p] = self._word(letters) + self._word(tail) if tail else self._word(letters)
-            else:
-                other.append(p)
+        other = [p for p in new if "\0" in p]
+        plain = [*new.difference(other)] if other else [*new]
+        found = _PLAIN.findall("\0".join(plain))[: len(plain)]
+        letters, tails = [f[0] for f in found], [f[1] for f in found]
+        if not self.spaces:
+            letters = "\0".join(letters).lower().split("\0") if letters else letters
+        words, tokenize = self.words, self.model.tokenize
+        for w in {*letters, *tails}.difference(words):
+            written = w.replace(" ", "Ġ") if w.isascii() else w.translate(_TABLE)
+            words[w] = array("I", [t.id for t in tokenize(written)]).tobytes()
+        self.cache.update(zip(plain, map(add, map(words.__getitem__, letters), map(words.__getitem__, tails)), strict=True))
+        other += [p for p, f in zip(plain, found, strict=True) if f[2]]
         self.cache.update(zip(other, self._encode(other), strict=True))
 
     def _cut(self, text: str) -> list[str] | None:
         """Pieces whose ids make up the text's; None if it has to be encoded whole."""
-        flat = text.replace("\n", " ").split(" ")
-        if flat == text.split() and "\0" not in text:  # single spaces and line ends, no other white space
-            return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if self.spaces else flat
+        odd = any([x in text for x in _DOUBLE]) or any([x in text for x in _ODD]) or not text.isascii() and _ODD_WIDE.search(text)
+        if not odd:
+            return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if self.spaces else text.replace("\n", " ").split(" ")
         if not self.spaces:
             return _SPACE.split(text)
         if _RUN.search(text):
@@ -79,16 +80,18 @@ class Encoder:
         first, *rest = text.split(" ")
         return [first, *[" " + x for x in rest]]
 
+    def many(self, texts: list) -> list[bytes]:
+        """The ids of each text; a null text is empty."""
+        cut = [self._cut(t or "") for t in texts]
+        if len(self.cache) + len(self.words) > self.most:
+            self.cache, self.words = {"": b""}, {"": b""}
+        if new := set().union(*[c for c in cut if c]).difference(self.cache):
+            self._learn(new)
+        of = self.cache.__getitem__
+        return [self._encode([t])[0] if c is None else b"".join(map(of, c)) for t, c in zip(texts, cut, strict=True)]
+
     def ids(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if (parts := self._cut(text)) is None:
-            return self._encode([text])[0]
-        try:
-            return b"".join([self.cache[p] for p in parts])
-        except KeyError:
-            self._pieces(list(dict.fromkeys(parts)))
-            return b"".join([self.cache[p] for p in parts])
+        return self.many([text])[0]
 
 
 _ENCODERS: dict = {}
