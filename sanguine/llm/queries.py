@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from . import chat
 from .common import table
 from .decontaminate import overlaps
+from .nbsvm import classify
 from .packing import pack
 from .pii import find_pii
 from .quality import quality_rules
@@ -40,6 +41,10 @@ def op7_decontamination(spark, sf_dir):
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_classifier(spark, sf_dir):
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_token_files(spark, sf_dir):
     return token_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -50,7 +55,7 @@ def op10_chat(spark, sf_dir):
     return chat.digest(chat.formatted(turns.unionByName(planted)))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_sharding": op2_sharding, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_pii": op6_pii, "op7_decontamination": op7_decontamination, "op9_token_files": op9_token_files, "op10_chat": op10_chat}
+QUERIES = {"op1_simhash": op1_simhash, "op2_sharding": op2_sharding, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_pii": op6_pii, "op7_decontamination": op7_decontamination, "op8_classifier": op8_classifier, "op9_token_files": op9_token_files, "op10_chat": op10_chat}
 _ESCAPED = "replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '[', '&lb;'), ']', '&rb;')"
 
 ORACLES: dict[str, str] = {
