@@ -1,11 +1,58 @@
-"""The corpus pipeline: STAGES of (name, function), each over all that its predecessor kept."""
+"""The corpus pipeline: quality rules, near-duplicates, benchmark passages, personal data, packing.
 
-STAGES = []
+STAGES lists (name, function) in order; each function takes (spark, docs, sf_dir) and gives back a DataFrame, which is
+written as Parquet and read again as the next one's docs. All but the last keep the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sanguine.llm.common import stored, table
+from sanguine.llm.decontaminate import decontaminated
+from sanguine.llm.packing import pack
+from sanguine.llm.pii import redact
+from sanguine.llm.quality import judge, labelled, learn
+from sanguine.llm.simhash import one_of_each
+from sanguine.llm.tokens import vocabulary
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that neither the base counts nor the learned list reject."""
+    rules = learn(*labelled(docs, table(spark, sf_dir, "labels")))
+    return judge(docs, rules).filter("__q.kept").drop("__q")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group whose SimHash fingerprints are linked."""
+    return one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark passages."""
+    return decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data masked; n_chars counts the new texts."""
+    out = redact(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of full sequences of 4096 tokens in the sources' proportions."""
+    return pack(docs, vocabulary("word_bpe_49k.json")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source_queue")
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontamination", decontamination), ("pii", pii), ("packing", packing)]
+
+#: Learned rules, XXH64 fingerprints and a tokenizer are beyond SQL; a test holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -13,6 +13,7 @@ from .pii import find_pii
 from .quality import quality_rules
 from .sharding import shard_documents
 from .simhash import near_duplicates
+from .suffix import without_repeats
 from .tokenfile import token_files
 from .tokens import vocabulary
 
@@ -25,6 +26,10 @@ def op2_sharding(spark, sf_dir):
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark, sf_dir):
+    return without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_quality(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,7 +60,7 @@ def op10_chat(spark, sf_dir):
     return chat.digest(chat.formatted(turns.unionByName(planted)))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_sharding": op2_sharding, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_pii": op6_pii, "op7_decontamination": op7_decontamination, "op8_classifier": op8_classifier, "op9_token_files": op9_token_files, "op10_chat": op10_chat}
+QUERIES = {"op1_simhash": op1_simhash, "op2_sharding": op2_sharding, "op3_suffix_dedup": op3_suffix_dedup, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_pii": op6_pii, "op7_decontamination": op7_decontamination, "op8_classifier": op8_classifier, "op9_token_files": op9_token_files, "op10_chat": op10_chat}
 _ESCAPED = "replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '[', '&lb;'), ']', '&rb;')"
 
 ORACLES: dict[str, str] = {

@@ -221,3 +221,16 @@ def near_duplicates(docs: DataFrame, budget: int = 4, width: int = 4, seed: int
     classes = cut(least.join(label.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label")))
     smallest = classes.groupBy("label").agg(F.min("first").alias("component_id"))
     return rows.join(classes.join(smallest, "label").select("fp", "component_id"), "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, budget: int = 4, width: int = 4, seed: int = 42) -> DataFrame:
+    """docs with one row of each group of near-duplicates, the one with the smallest doc_id; all columns stay.
+
+    Rows with null or repeated doc_ids count one by one: of equal ids the first row read stays, null ids only where the
+    group has no other. docs has to read the same rows in the same order twice, as a table does.
+    """
+    rows = docs.withColumn("__uid", F.monotonically_increasing_id())
+    classes = near_duplicates(rows, budget, width, seed, id_col="__uid").select(F.col("doc_id").alias("__uid"), F.col("component_id").alias("__class"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__uid"))
+    kept = rows.select("__uid", "doc_id").join(classes, "__uid").groupBy("__class").agg(first.alias("x")).select(F.col("x.__uid").alias("__uid"))
+    return rows.join(kept, "__uid", "left_semi").drop("__uid").select(docs.columns)
