@@ -1,9 +1,13 @@
+import os
 import sys
 from pathlib import Path
 
 import pytest
 from pyspark.sql import SparkSession
 
+for _k in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):  # small matrices: threads only get in each other's way
+    os.environ.setdefault(_k, "1")
+
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
 SF = "/root/testdata/sf0.001"
