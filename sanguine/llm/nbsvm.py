@@ -67,8 +67,8 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     last = ends - 1
     size = np.minimum(ends - starts, 12).astype(np.uint64)
     again = np.zeros(len(words), np.uint64)
-    again[1:] |= words[1:] == words[:-1]
-    again[2:] |= words[2:] == words[:-2]
+    for k in (1, 2):
+        again[k:] |= (words[k:] == words[:-k]) & (own[k:] == own[:-k])
     shape = _CLASS[a[starts]] | _CLASS[a[last]] << np.uint64(6) | _CLASS[a[np.maximum(starts, last - 1)]] << np.uint64(12) | (size > 9).astype(np.uint64) << np.uint64(18) | again << np.uint64(19)
     keys, texts_of = [], []
     shares = []

@@ -153,7 +153,7 @@ def _grow(x: np.ndarray, bad: np.ndarray, most_tests: int, thresholds: int) -> t
     return tests
 
 
-def learn(x: np.ndarray, bad: np.ndarray, seed: int = 11, most_rules: int = 24, most_tests: int = 4, thresholds: int = 64, precision: float = 0.97, least: int = 5) -> list[Rule]:
+def learn(x: np.ndarray, bad: np.ndarray, seed: int = 11, most_rules: int = 24, most_tests: int = 4, thresholds: int = 64, precision: float = 0.97, least: int = 3) -> list[Rule]:
     """An ordered list of rejecting rules for rows of MEASURES; bad marks those to reject. Empty without rows of both kinds."""
     rng = np.random.default_rng(seed)
     rules: list[Rule] = []

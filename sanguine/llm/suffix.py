@@ -327,7 +327,8 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, most:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     every = occurrences(rows, width, gram)
-    repeated_grams = every.groupBy("h").agg(F.sum("copies").alias("m")).filter("m > 1").select("h")
+    # written first, so that the join has a shuffle of its own on either side and hot k-grams can be split
+    repeated_grams = stored(every.groupBy("h").agg(F.sum("copies").alias("m")).filter("m > 1").select("h"))
     found = stored(every.join(repeated_grams, "h", "left_semi"))
     texts = keyed(rows)
     runs = repeated_contexts(texts, found, width, most)
