@@ -616,7 +616,7 @@ def b04(spark, sf_dir):
 
 
 @query("B03_pos_windows", f"""WITH {RGB}, a AS (SELECT video_id, frame_idx, r, g, b, avg(r) OVER p AS mr, avg(g) OVER p AS mg, avg(b) OVER p AS mb, avg(r*r) OVER p AS rr, avg(r*g) OVER p AS rg, avg(r*b) OVER p AS rb, avg(g*g) OVER p AS gg, avg(g*b) OVER p AS gb, avg(b*b) OVER p AS bb FROM rgb WINDOW p AS (PARTITION BY video_id ORDER BY frame_idx ROWS BETWEEN 15 PRECEDING AND CURRENT ROW)),
-s AS (SELECT *, rr/(mr*mr)-1 AS s_rr, rg/(mr*mg)-1 AS s_rg, rb/(mr*mb)-1 AS s_rb, gg/(mg*mg)-1 AS s_gg, gb/(mg*mb)-1 AS s_gb, bb/(mb*mb)-1 AS s_bb FROM a WHERE mb <> 0),
+s AS (SELECT *, rr/(mr*mr)-1 AS s_rr, rg/(mr*mg)-1 AS s_rg, rb/nullif(mr*mb, 0)-1 AS s_rb, gg/(mg*mg)-1 AS s_gg, gb/nullif(mg*mb, 0)-1 AS s_gb, bb/nullif(mb*mb, 0)-1 AS s_bb FROM a),
 k AS (SELECT *, sqrt(greatest(s_gg + s_bb - 2*s_gb, 0)) / nullif(sqrt(greatest(4*s_rr + s_gg + s_bb - 4*s_rg - 4*s_rb + 2*s_gb, 0)), 0) AS al FROM s),
 q AS (SELECT *, CASE WHEN frame_idx >= 16 THEN -2*al/mr END AS kr, CASE WHEN frame_idx >= 16 THEN (1+al)/mg END AS kg, CASE WHEN frame_idx >= 16 THEN (al-1)/mb END AS kb FROM k)
 SELECT video_id, frame_idx, round(coalesce(sum(kr) OVER f, 0)*r + coalesce(sum(kg) OVER f, 0)*g + coalesce(sum(kb) OVER f, 0)*b, 4) + 0.0 AS h FROM q WINDOW f AS (PARTITION BY video_id ORDER BY frame_idx ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING)""")
@@ -660,10 +660,10 @@ def s10(spark, sf_dir):
     return load(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-@query("Q08_event_windows", "SELECT user_id AS video_id, time_bucket(INTERVAL 1 day, ts, TIMESTAMP '1970-01-01') AS start, round(avg(value), 6) AS mean, count(*) AS n FROM events GROUP BY ALL")
+@query("Q08_event_windows", "SELECT user_id AS video_id, epoch_us(time_bucket(INTERVAL 1 day, ts, TIMESTAMP '1970-01-01')) AS start_us, round(avg(value), 6) AS mean, count(*) AS n FROM events GROUP BY ALL")
 def q08(spark, sf_dir):
     rows = load(spark, sf_dir, "events").select(F.col("user_id").alias("video_id"), F.col("ts").cast("timestamp").alias("ts"), "value")
-    return realtime.event_windows(rows, "1 day", "1 day").select("video_id", F.col("start").cast("timestamp_ntz").alias("start"), r6("mean").alias("mean"), "n")
+    return realtime.event_windows(rows, "1 day", "1 day").select("video_id", F.unix_micros("start").alias("start_us"), r6("mean").alias("mean"), "n")
 
 
 @query("Q07_preview", f"WITH {RGB} SELECT video_id, frame_idx FROM rgb WHERE frame_idx % 4 = 3")
