@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import pieces, smallest
 from .words import hashed_bytes, mix
 
 BITS = 18
@@ -178,7 +178,7 @@ def held_out(doc_id) -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, most: int = 8000) -> Model:
     """A model from at most `most` labelled rows that are not held out, those with the smallest hash of their id; the bound on what the driver fits."""
     marks = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("__quality"))
-    sample = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    sample = smallest(marks, ["doc_id"], most)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("__quality").alias("quality"))
 
     def run(batches):

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bilstm_crf import Tagger, char_ids
-from .common import pieces
+from .common import pieces, smallest
 
 KINDS = ("email", "ip", "card", "phone")
 SIZE, STRIDE = 96, 64
@@ -174,7 +174,7 @@ def labelled_windows(docs: DataFrame, most: int = 1000) -> list[str]:
     t = F.col("text").cast("string")
     starts = F.sequence(F.lit(0), F.greatest(F.ceil((F.length(t) - SIZE) / SIZE), F.lit(0)).cast("int"))
     cut = docs.filter(t.rlike("[0-9@]")).select(F.explode(F.transform(starts, lambda k: F.substring(t, k * SIZE + 1, F.lit(SIZE)))).alias("w"))
-    return [r["w"] for r in cut.filter(F.col("w").rlike("[0-9@]")).orderBy(F.xxhash64("w"), "w").limit(most).collect()]
+    return [r["w"] for r in smallest(cut.filter(F.col("w").rlike("[0-9@]")).distinct(), ["w"], most).collect()]
 
 
 def train(sample: list[str], seed: int = 5, variants: int = 1000, epochs: int = 8) -> Tagger:

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS
+from .common import WS, smallest
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -183,7 +183,7 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> tuple[np
     The sample is the only thing that is bounded: its ids are broadcast, its measures come to the driver.
     """
     marks = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("__quality"))
-    sample = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    sample = smallest(marks, ["doc_id"], most)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("__quality").alias("quality"))
     got = rows.select("quality", measured(F.col("text"))["m"].alias("m")).collect()
     return np.array([[r["m"][k] for k in MEASURES] for r in got], float).reshape(-1, len(MEASURES)), np.array([r["quality"] == 0 for r in got], bool)
