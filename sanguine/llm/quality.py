@@ -203,8 +203,14 @@ def base_failed(q: Column) -> Column:
 
 def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """docs with a struct column __q: base counts, measures, base_failed, rule (number of the list's rule that rejects it, 0 if none) and kept."""
-    q = let(measured(F.col("text")), lambda c: F.struct(*[c[k].alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], base_failed(c).alias("base_failed"), verdicts(c["m"], rules).alias("rule")))
-    return docs.withColumn("__q", q).withColumn("__q", F.col("__q").withField("kept", ~F.col("__q.base_failed") & (F.col("__q.rule") == 0)))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+    def verdict(c: Column) -> Column:
+        out = F.struct(base_failed(c).alias("base_failed"), verdicts(c["m"], rules).alias("rule"))
+        return let(out, lambda v: F.struct(*[c[k].alias(k) for k in counts], v["base_failed"].alias("base_failed"), v["rule"].alias("rule"), (~v["base_failed"] & (v["rule"] == 0)).alias("kept")))
+
+    # one expression, so that a filter on a field of it measures each text once
+    return docs.withColumn("__q", let(measured(F.col("text")), verdict))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> DataFrame:
