@@ -86,14 +86,16 @@ def mad(a: Column) -> Column:
     return let(median(a), lambda m: median(F.transform(a, lambda x: F.abs(x - m))))
 
 
+def constants(values: list[float]) -> Column:
+    """A constant array<double>, written as text that is folded into one literal, so that the plan stays short."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
+
+
 def dft_power(a: Column, n: int, bins: list[int]) -> Column:
     """Power |X(k)|^2 of an array of n values at the given bins, from cosine and sine tables."""
-    out = []
-    for k in bins:
-        c = F.array(*[F.lit(math.cos(2 * math.pi * k * t / n)) for t in range(n)])
-        s = F.array(*[F.lit(math.sin(2 * math.pi * k * t / n)) for t in range(n)])
-        out.append(F.pow(dot(a, c), 2) + F.pow(dot(a, s), 2))
-    return F.array(*out)
+    wave = lambda f, k: constants([f(2 * math.pi * k * t / n) for t in range(n)])
+    table = F.array(*[F.struct(wave(math.cos, k).alias("c"), wave(math.sin, k).alias("s")) for k in bins])
+    return let(a, lambda x: F.transform(table, lambda w: F.pow(dot(x, w["c"]), 2) + F.pow(dot(x, w["s"]), 2)))
 
 
 def arg_max(a: Column) -> Column:

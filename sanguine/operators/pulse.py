@@ -174,9 +174,10 @@ def to_bvp(windows: DataFrame, method: str, fps: float, component: str = "second
     name = bvp.plain_name(method)
     rest = [c for c in windows.columns if c not in "rgb"]
     if native and name in NATIVE:
-        out = windows.select(*rest, F.lit(0).alias("output"), NATIVE[name](F.col("r"), F.col("g"), F.col("b")).alias("bvp"))
-    else:
-        out = _method_stage(windows, rest, name, fps, component)
+        # generated, not projected and filtered: the signal is worked out once
+        one = F.filter(F.array(NATIVE[name](F.col("r"), F.col("g"), F.col("b"))), lambda x: x.isNotNull() & ~A.has_nan(x))
+        return windows.select(*rest, F.lit(0).alias("output"), F.explode(one).alias("bvp")).withColumn("method", F.lit(name))
+    out = _method_stage(windows, rest, name, fps, component)
     return out.filter(F.col("bvp").isNotNull() & ~A.has_nan(F.col("bvp"))).withColumn("method", F.lit(name))
 
 
