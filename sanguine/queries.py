@@ -729,3 +729,58 @@ def run_on_dataset(spark, sf_dir):
 def run_on_video(spark, sf_dir):
     one = rgb(spark, sf_dir).filter("video_id = 1")
     return pipeline.estimates(pipeline.signals(pipeline.windowed(one, FPS), FPS, MethodSpec("CHROM")), FPS)
+
+
+# --- masks, fits, files, live rates ---
+
+
+def _path(spark, kind: str) -> str:
+    """A new folder where driver and executors share one."""
+    import uuid
+
+    return f"{spark.conf.get('spark.checkpoint.dir', '/tmp/checkpoints').rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+@query("F05_hull_mask", f"WITH {PIX} SELECT video_id, frame_idx, y, x, count(*) AS n FROM px WHERE y BETWEEN 5 AND 50 AND x BETWEEN 5 AND 50 AND NOT (y BETWEEN 20 AND 30 AND x BETWEEN 20 AND 30) GROUP BY ALL")
+def f05(spark, sf_dir):
+    px = pixels(spark, sf_dir).select("video_id", "frame_idx", "y", "x", "r", "g", "b")
+    corners = [(i, y, x) for i, (y, x) in enumerate([(5, 5), (5, 50), (50, 50), (50, 5), (20, 20), (20, 30), (30, 30), (30, 20)], 1)]
+    at = F.array(*[F.struct(F.lit(i).alias("ldmk_id"), F.lit(y).alias("y"), F.lit(x).alias("x")) for i, y, x in corners])
+    ld = px.select("video_id", "frame_idx").distinct().select("*", F.explode(at).alias("m")).select("video_id", "frame_idx", "m.*")
+    kept = extraction.hull_mask(px, ld, [1, 2, 3, 4], {"mouth": [5, 6, 7, 8], "eye": [98, 99]})
+    return kept.groupBy("video_id", "frame_idx", "y", "x").agg(F.count("*").alias("n"))
+
+
+@query("M14_gaussian_fit")
+def m14(spark, sf_dir):
+    import numpy as np
+
+    from .functions import dsp
+
+    def fit(power: np.ndarray) -> list:
+        rows = [dsp.gauss_sigma(p / p.max(), np.arange(float(len(p))), float(p.argmax()), 1.0) for p in power**2]
+        return [[r["sigma"], r["chi2"], r["aic"]] for r in rows]
+
+    rows = pulse.ArrayFunction(fit).over(emb(spark, sf_dir).select("estimator_id", "bvp"), {"f": "bvp"})
+    return rows.select("estimator_id", *[F.get("f", F.lit(k)).alias(n) for k, n in enumerate(("sigma", "chi2", "aic"))])
+
+
+@query("K01_S22_results_round_trip", f"WITH {RESULTS} SELECT dataset, 'cpu_' || method AS method, count(*) AS n, round(sum(value), 2) AS total FROM res GROUP BY ALL")
+def k01(spark, sf_dir):
+    from .sources import sinks
+
+    path = _path(spark, "results")
+    sinks.save_results(results(spark, sf_dir), path)
+    back = sinks.load_results(spark, path)
+    return back.groupBy(F.col("dataset").cast("string").alias("dataset"), "method").agg(F.count("*").alias("n"), F.round(F.sum("MAE"), 2).alias("total"))
+
+
+@query("Q01_Q06_live_rates")
+def q01(spark, sf_dir):
+    """The live operator as a stream over written frames, into a table; it ends with the frames."""
+    source, sink, state = (_path(spark, k) for k in ("frames", "rates", "state"))
+    frames = rgb(spark, sf_dir)
+    frames.write.parquet(source)
+    rates = realtime.rates(spark.readStream.schema(frames.schema).parquet(source), realtime.Live(fps=FPS, window=SIZE, stride=STRIDE))
+    rates.writeStream.format("parquet").option("path", sink).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rates.schema).parquet(sink)
