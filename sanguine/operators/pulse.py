@@ -282,22 +282,30 @@ def motion_filter(tracks: DataFrame, fps: float) -> DataFrame:
     1 - P / max P, energy the mean of P less its negative minimum.
     """
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = dsp.bandpass(np.stack([np.asarray(t, float) for t in pdf["track"]]), fps)
-        power = dsp.welch(x, fps, overlap=0.6)[1]
-        if key[2] == "z" or len(power) == 1:
-            p, energy = power.mean(0), float(power.mean(0).mean())
-        else:
-            centred = (power - power.mean(1, keepdims=True)).T
-            u, s, v = np.linalg.svd(centred, full_matrices=False)
-            sign = np.sign(u[np.abs(u[:, 0]).argmax(), 0]) or 1.0
-            p = sign * u[:, 0] * s[0]
-            energy = float((p - min(p.min(), 0.0)).mean())
-        top = p.max()
-        return pd.DataFrame({"video_id": [key[0]], "win_idx": [key[1]], "axis": [key[2]], "atten": [list(1 - p / top) if top else [1.0] * len(p)], "energy": [energy]})
+    def component(power: np.ndarray, axis: str) -> tuple[np.ndarray, float]:
+        if axis == "z" or len(power) == 1:
+            p = power.mean(0)
+            return p, float(p.mean())
+        u, s, _ = np.linalg.svd((power - power.mean(1, keepdims=True)).T, full_matrices=False)
+        p = (np.sign(u[np.abs(u[:, 0]).argmax(), 0]) or 1.0) * u[:, 0] * s[0]
+        return p, float((p - min(p.min(), 0.0)).mean())
+
+    def run(batches):
+        """All tracks of a batch are filtered at once, then parted by group again."""
+        for pdf in batches:
+            flat = pd.Series([t for group in pdf["tracks"] for t in group], dtype=object)
+            powers: list = [None] * len(flat)
+            for at, block in _by_length(flat):
+                for k, row in zip(at, dsp.welch(dsp.bandpass(block, fps), fps, overlap=0.6)[1], strict=True):
+                    powers[k] = row
+            ends = np.cumsum([len(g) for g in pdf["tracks"]])
+            got = [component(np.stack(powers[e - len(g) : e]), axis) for e, g, axis in zip(ends, pdf["tracks"], pdf["axis"], strict=True)]
+            atten = [list(1 - p / p.max()) if p.max() else [1.0] * len(p) for p, _ in got]
+            yield pdf[["video_id", "win_idx", "axis"]].assign(atten=atten, energy=[e for _, e in got])
 
     video = tracks.schema["video_id"].dataType.simpleString()
-    return tracks.groupBy("video_id", "win_idx", "axis").applyInPandas(one, f"video_id {video}, win_idx int, axis string, atten array<double>, energy double")
+    groups = tracks.groupBy("video_id", "win_idx", "axis").agg(F.sort_array(F.collect_list("track")).alias("tracks"))
+    return groups.mapInPandas(run, f"video_id {video}, win_idx int, axis string, atten array<double>, energy double")
 
 
 def truth_rates(signals: DataFrame, window: float = 5.0, kind: str = "BVP") -> DataFrame:

@@ -161,3 +161,13 @@ def test_queries_stay_without_the_corpus_package():
     for p in root.rglob("*.py"):
         if "llm" not in p.parts:
             assert "llm" not in p.read_text().replace("parallel", ""), p
+
+
+def test_motion_filter_dips_at_the_motion(spark):
+    t = np.arange(240) / 30.0
+    rows = [("v", k, axis, (np.sin(2 * np.pi * 1.5 * t + j) + 0.01 * j).tolist()) for k in range(2) for axis in "yxz" for j in range(4 if axis != "z" else 1)]
+    got = pulse.motion_filter(spark.createDataFrame(rows, "video_id string, win_idx int, axis string, track array<double>"), 30.0).collect()
+    freqs = pulse.band_freqs(30.0)
+    assert len(got) == 6
+    for r in got:
+        assert abs(freqs[int(np.argmin(r.atten))] - 90) < 2 and r.energy > 0, r.axis
