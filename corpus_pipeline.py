@@ -14,7 +14,7 @@ from sanguine.llm.decontaminate import decontaminated
 from sanguine.llm.packing import pack
 from sanguine.llm.pii import redact
 from sanguine.llm.quality import judge, labelled, learn
-from sanguine.llm.simhash import one_of_each
+from sanguine.llm.similar import one_of_each
 from sanguine.llm.tokens import vocabulary
 
 
@@ -25,7 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose SimHash fingerprints are linked."""
+    """One document of each group linked by a Jaccard similarity of 0.8 or more of their five-word shingles."""
     return one_of_each(docs)
 
 

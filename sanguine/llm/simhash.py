@@ -25,19 +25,25 @@ from .components import components
 BITS = 64
 
 
-def fingerprint(text: bytes | None, width: int = 4, seed: int = 42) -> int:
-    """Majority of each bit over the XXH64 of all shingles, repeats included; 0 for a text without words."""
+def shingles(text: bytes | None, width: int, seed: int) -> list[bytes]:
+    """XXH64 of all shingles, repeats included; of fewer than `width` words the only one; none for a text without words."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
     if len(words) <= width:
-        hashes = [xxhash.xxh64_digest(joined, seed)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        digest = xxhash.xxh64_digest
-        hashes = [digest(joined[a:b], seed) for a, b in zip(starts[: 1 - width].tolist(), ends[width - 1 :].tolist(), strict=True)]
+        return [xxhash.xxh64_digest(joined, seed)]
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    digest = xxhash.xxh64_digest
+    return [digest(joined[a:b], seed) for a, b in zip(starts[: 1 - width].tolist(), ends[width - 1 :].tolist(), strict=True)]
+
+
+def fingerprint(text: bytes | None, width: int = 4, seed: int = 42) -> int:
+    """Majority of each bit over the XXH64 of all shingles, repeats included; 0 for a text without words."""
+    hashes = shingles(text, width, seed)
+    if not hashes:
+        return 0
     h = np.frombuffer(b"".join(hashes), np.uint8).reshape(-1, 8)
     ones = sum(np.unpackbits(h[k : k + 4096], axis=1).sum(0, dtype=np.int64) for k in range(0, len(h), 4096))
     return int.from_bytes(np.packbits(ones * 2 > len(h)).tobytes(), "big")
@@ -221,16 +227,3 @@ def near_duplicates(docs: DataFrame, budget: int = 4, width: int = 4, seed: int
     classes = cut(least.join(label.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label")))
     smallest = classes.groupBy("label").agg(F.min("first").alias("component_id"))
     return rows.join(classes.join(smallest, "label").select("fp", "component_id"), "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, budget: int = 4, width: int = 4, seed: int = 42) -> DataFrame:
-    """docs with one row of each group of near-duplicates, the one with the smallest doc_id; all columns stay.
-
-    Rows with null or repeated doc_ids count one by one: of equal ids the first row read stays, null ids only where the
-    group has no other. docs has to read the same rows in the same order twice, as a table does.
-    """
-    rows = docs.withColumn("__uid", F.monotonically_increasing_id())
-    classes = near_duplicates(rows, budget, width, seed, id_col="__uid").select(F.col("doc_id").alias("__uid"), F.col("component_id").alias("__class"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__uid"))
-    kept = rows.select("__uid", "doc_id").join(classes, "__uid").groupBy("__class").agg(first.alias("x")).select(F.col("x.__uid").alias("__uid"))
-    return rows.join(kept, "__uid", "left_semi").drop("__uid").select(docs.columns)
