@@ -427,10 +427,14 @@ def t02(spark, sf_dir):
 
 @query("T04_natural_order", "SELECT c_name, row_number() OVER (ORDER BY CAST(regexp_extract(c_name, '(\\d+)\\D*$', 1) AS BIGINT), c_name) AS place FROM customer QUALIFY place <= 50")
 def t04(spark, sf_dir):
-    from .sources.signals import natural
+    return natural_names(spark, sf_dir).filter("place <= 50")  # the SQL's QUALIFY
 
-    top = load(spark, sf_dir, "customer").select("c_name").orderBy(*natural("c_name")).limit(50)  # the report's length
-    return top.withColumn("place", F.row_number().over(Window.orderBy(*natural("c_name"))).cast("long"))
+
+@query("T04_natural_order_all", "SELECT c_name, row_number() OVER (ORDER BY CAST(regexp_extract(c_name, '(\\d+)\\D*$', 1) AS BIGINT), c_name) AS place FROM customer")
+def natural_names(spark, sf_dir):
+    from .sources.signals import natural_places
+
+    return natural_places(load(spark, sf_dir, "customer").select("c_name"), "c_name")
 
 
 RANKS = f"{RESULTS}, med AS (SELECT dataset, method, median(value) AS m FROM res GROUP BY ALL), rk AS (SELECT *, rank() OVER (PARTITION BY dataset ORDER BY m) + (count(*) OVER (PARTITION BY dataset, m) - 1) / 2.0 AS r FROM med), ar AS (SELECT method, avg(r) AS avg_rank, count(*) AS n FROM rk GROUP BY method)"

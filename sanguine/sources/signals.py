@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 SCHEMA = "path string, fs double, signal array<double>, error string"
 
@@ -163,6 +164,19 @@ def natural(path: str):
     return F.regexp_replace(path, r"\d+\D*$", ""), F.when(number != "", number.cast("long")), F.col(path)
 
 
+def natural_places(rows: DataFrame, name: str) -> DataFrame:
+    """rows in natural order of the column `name`, with their place from 1: no task sees more than a range of the rows."""
+    ranged = rows.orderBy(*natural(name)).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    ranged = ranged.persist(StorageLevel.DISK_ONLY)  # counted and read from the same ranges
+    sizes = {r["__part"]: r["n"] for r in ranged.groupBy("__part").agg(F.count("*").alias("n")).collect()}
+    offsets, total = [], 1
+    for part in sorted(sizes):
+        offsets.append((part, total))
+        total += sizes[part]
+    before = F.broadcast(rows.sparkSession.createDataFrame(offsets, "__part int, __before long"))
+    return ranged.join(before, "__part").withColumn("place", F.col("__before") + F.col("__at")).drop("__part", "__at", "__before")
+
+
 def image_frames(spark: SparkSession, root: str, fps: float = 30.0, pattern: str = "*.png") -> DataFrame:
     """(video_path, frame_idx, ts, content) of image sequences, one directory a video, in natural order of the names."""
     from pyspark.sql import Window

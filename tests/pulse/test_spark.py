@@ -1,4 +1,5 @@
 import json
+import re
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from sanguine.functions import bvp
 from sanguine.operators import align, extraction, filters, pulse, windows
 from sanguine.plans import pipeline
 from sanguine.plans.config import SpecError, parse
-from sanguine.queries import SPEC
+from sanguine.queries import QUERIES, SPEC
 from sanguine.sources import signals, sinks
 from sanguine.streaming import realtime
 
@@ -171,3 +172,19 @@ def test_motion_filter_dips_at_the_motion(spark):
     assert len(got) == 6
     for r in got:
         assert abs(freqs[int(np.argmin(r.atten))] - 90) < 2 and r.energy > 0, r.axis
+
+
+def test_natural_places_of_all_rows(spark):
+    names = [f"run{k % 3}/img{k}.png" for k in range(500)] + ["run10/img2.png", "run10/img10.png", "none", "run10/img2.png"]
+    rows = spark.createDataFrame([(n,) for n in reversed(names)], "path string").repartition(7)
+    got = [(r.place, r.path) for r in signals.natural_places(rows, "path").collect()]
+    order = sorted(names, key=lambda n: (re.sub(r"\d+\D*$", "", n), int((re.search(r"(\d+)\D*$", n) or [0, -1])[1]), n))
+    assert sorted(got) == list(enumerate(order, 1))
+    assert signals.natural_places(rows.limit(0), "path").collect() == []
+
+
+def test_natural_order_keeps_every_customer(spark):
+    sf = "/root/testdata/sf0.001"
+    names = sorted(r.c_name for r in spark.read.parquet(f"{sf}/customer.parquet").collect())  # numbers of equal length
+    got = {q: sorted((r.place, r.c_name) for r in QUERIES[q](spark, sf).collect()) for q in ("T04_natural_order", "T04_natural_order_all")}
+    assert got == {"T04_natural_order": list(enumerate(names, 1))[:50], "T04_natural_order_all": list(enumerate(names, 1))} and len(names) > 50
