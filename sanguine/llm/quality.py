@@ -2,8 +2,10 @@
 
 Sequential covering learns an ordered list of rules from labelled rows: a rule is a conjunction of thresholds, grown on
 one part of the rows not covered so far by the gain in information, then pruned from its end on the other part by its
-worth there. Rules that aren't precise enough on the pruning part end the list; what no rule covers is kept. The list
-becomes one ordered conditional expression of Spark.
+worth there. A rule that isn't precise enough there is dropped and grown anew
+on other parts; after a few such misses in a row the list ends. What no rule covers is kept. The list
+becomes one ordered conditional expression of Spark. Hashes of the rows' ids decide which part a row is in, so the list
+follows from the tables alone, however these are partitioned.
 """
 
 from __future__ import annotations
@@ -153,12 +155,25 @@ def _grow(x: np.ndarray, bad: np.ndarray, most_tests: int, thresholds: int) -> t
     return tests
 
 
-def learn(x: np.ndarray, bad: np.ndarray, seed: int = 11, most_rules: int = 24, most_tests: int = 4, thresholds: int = 64, precision: float = 0.97, least: int = 3) -> list[Rule]:
-    """An ordered list of rejecting rules for rows of MEASURES; bad marks those to reject. Empty without rows of both kinds."""
-    rng = np.random.default_rng(seed)
+def _part(keys: np.ndarray, turn: int) -> np.ndarray:
+    """Rows that the rule number `turn` grows on, about two thirds, by their keys."""
+    with np.errstate(over="ignore"):
+        h = (keys ^ np.uint64(turn + 1)) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h >> np.uint64(33)) % np.uint64(3) < 2
+
+
+def learn(x: np.ndarray, bad: np.ndarray, keys: np.ndarray | None = None, most_rules: int = 24, most_tests: int = 4, thresholds: int = 64, precision: float = 0.97, least: int = 3, most_misses: int = 3) -> list[Rule]:
+    """An ordered list of rejecting rules for rows of MEASURES; bad marks those to reject. Empty without rows of both kinds.
+
+    keys (uint64, the rows' numbers if not given) part the rows; the order of the rows has no say.
+    """
+    keys = np.arange(len(x), dtype=np.uint64) if keys is None else keys
     rules: list[Rule] = []
-    while len(rules) < most_rules and bad.any() and not bad.all():
-        grow = rng.random(len(x)) < 2 / 3
+    turn = misses = 0
+    while len(rules) < most_rules and misses < most_misses and bad.any() and not bad.all():
+        grow = _part(keys, turn)
+        turn += 1
         tests = _grow(x[grow], bad[grow], most_tests, thresholds)
         px, pb = x[~grow], bad[~grow]
         best = None
@@ -169,24 +184,27 @@ def learn(x: np.ndarray, bad: np.ndarray, seed: int = 11, most_rules: int = 24,
             if best is None or worth >= best[0]:
                 best = worth, n, p, q
         if not best or best[2] < least or best[2] / (best[2] + best[3]) < precision:
-            break
+            misses += 1
+            continue
+        misses = 0
         rule = Rule(tests[: best[1]], best[2] + best[3], best[2] / (best[2] + best[3]))
         rules.append(rule)
         left = ~rule.holds(x)
-        x, bad = x[left], bad[left]
+        x, bad, keys = x[left], bad[left], keys[left]
     return rules
 
 
-def labelled(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
-    """Measures and badness of at most `most` labelled documents, those with the smallest hash of their id; one row for each id.
+def labelled(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Measures, badness and keys (hashes of the ids) of at most `most` labelled documents, those with the smallest hash of their id; one row for each id.
 
     The sample is the only thing that is bounded: its ids are broadcast, its measures come to the driver.
     """
     marks = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("__quality"))
     sample = smallest(marks, ["doc_id"], most)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("__quality").alias("quality"))
-    got = rows.select("quality", measured(F.col("text"))["m"].alias("m")).collect()
-    return np.array([[r["m"][k] for k in MEASURES] for r in got], float).reshape(-1, len(MEASURES)), np.array([r["quality"] == 0 for r in got], bool)
+    got = sorted(rows.select(F.xxhash64("doc_id").alias("key"), "quality", measured(F.col("text"))["m"].alias("m")).collect())
+    x = np.array([[r["m"][k] for k in MEASURES] for r in got], float).reshape(-1, len(MEASURES))
+    return x, np.array([r["quality"] == 0 for r in got], bool), np.array([r["key"] for r in got], np.int64).view(np.uint64)
 
 
 def verdicts(m: Column, rules: list[Rule]) -> Column:
@@ -201,8 +219,9 @@ def base_failed(q: Column) -> Column:
     return (q["n_words"] < 10) | (100 * q["n_repeat_words"] > 20 * q["n_words"])
 
 
-def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """docs with a struct column __q: base counts, measures, base_failed, rule (number of the list's rule that rejects it, 0 if none) and kept."""
+def judge(docs: DataFrame, rules: list[Rule], name: str = "__q") -> DataFrame:
+    """docs with a struct column `name` (a column of that name is replaced): base counts, base_failed, rule (number of the
+    list's rule that rejects it, 0 if none) and kept."""
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
     def verdict(c: Column) -> Column:
@@ -210,7 +229,15 @@ def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
         return let(out, lambda v: F.struct(*[c[k].alias(k) for k in counts], v["base_failed"].alias("base_failed"), v["rule"].alias("rule"), (~v["base_failed"] & (v["rule"] == 0)).alias("kept")))
 
     # one expression, so that a filter on a field of it measures each text once
-    return docs.withColumn("__q", let(measured(F.col("text")), verdict))
+    return docs.withColumn(name, let(measured(F.col("text")), verdict))
+
+
+def kept(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+    """docs without the rows that the base or the list rejects; all columns stay, whatever their names."""
+    name = "__q"
+    while name in docs.columns:
+        name += "_"
+    return judge(docs, rules, name).filter(f"`{name}`.kept").drop(name)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> DataFrame:
@@ -218,7 +245,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> Dat
 
     A null or empty text has no words and so fails the base. Null and repeated doc_ids are judged like others. Without
     labels of both kinds the list is empty and the base alone decides. An empty table gives an empty table. Other columns
-    are not read.
+    are not read. A text is measured whole in the memory of one task: about 100 bytes a word. Repeated ids in labels count
+    once, with their lowest quality; of equally good tests the first measure's and lowest threshold is taken.
     """
     rules = learn(*labelled(docs, labels, most))
     return judge(docs.select("doc_id", "text"), rules).select("doc_id", *[F.col(f"__q.{k}").alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")])
