@@ -13,15 +13,14 @@ from sanguine.llm.common import stored, table
 from sanguine.llm.decontaminate import decontaminated
 from sanguine.llm.packing import pack
 from sanguine.llm.pii import redact
-from sanguine.llm.quality import judge, labelled, learn
+from sanguine.llm.quality import kept, labelled, learn
 from sanguine.llm.similar import one_of_each
 from sanguine.llm.tokens import vocabulary
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base counts nor the learned list reject."""
-    rules = learn(*labelled(docs, table(spark, sf_dir, "labels")))
-    return judge(docs, rules).filter("__q.kept").drop("__q")
+    return kept(docs, learn(*labelled(docs, table(spark, sf_dir, "labels"))))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
