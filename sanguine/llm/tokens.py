@@ -4,8 +4,8 @@ Both public vocabularies split a text before they merge, and never merge across
 characters. So a text is cut there, each distinct piece is encoded once by the library, and a text's ids are its pieces'
 ids in order: the same ids as for the whole text, in far less time. Most pieces are letters and then punctuation; these go
 straight to the library's merge model, all others through the whole of its encoding. Texts with runs that hold two
-spaces or more go to the library whole where the vocabulary keeps spaces. The cache of pieces is bounded and emptied
-when full.
+spaces or more go to the library whole where the vocabulary keeps spaces, as do texts that hold a special token's own
+string. The cache of pieces is bounded and emptied when full.
 """
 
 from __future__ import annotations
@@ -37,13 +37,17 @@ _TABLE = _byte_table()
 
 
 class Encoder:
-    """ids(text) gives the ids of a text as little-endian unsigned 32-bit integers, in bytes."""
+    """ids(text) gives the ids of a text as little-endian unsigned 32-bit integers, in bytes.
 
-    def __init__(self, path: str, special_is_text: bool = True, most_pieces: int = 1_500_000):
+    A special token's string in a text becomes its id, as the library has it, or is ordinary text with `special_is_text`.
+    """
+
+    def __init__(self, path: str, special_is_text: bool = False, most_pieces: int = 1_500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_is_text
+        self.specials = [] if special_is_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         #: Vocabularies that drop white space need no care for its runs.
         self.spaces = getattr(self.tokenizer, "normalizer", None) is None
         self.most, self.cache, self.words = most_pieces, {"": b""}, {"": b""}
@@ -70,6 +74,8 @@ class Encoder:
 
     def _cut(self, text: str) -> list[str] | None:
         """Pieces whose ids make up the text's; None if it has to be encoded whole."""
+        if any([x in text for x in self.specials]):
+            return None
         odd = any([x in text for x in _DOUBLE]) or any([x in text for x in _ODD]) or not text.isascii() and _ODD_WIDE.search(text)
         if not odd:
             return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if self.spaces else text.replace("\n", " ").split(" ")
