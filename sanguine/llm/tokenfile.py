@@ -2,32 +2,35 @@
 
 A segment file (all integers little-endian):
 
-    header   magic PFR1, block length u32, documents u64, ids u64
+    header   magic PFR2, block length u32, segment number u64, documents u64, ids u64
     docs     doc_id i64 and has-id u8 and id count u32 of each document, column after column
     index    of each block: start u64 (in 64-bit words of the packed area), first exception u64, minimum u32, width u8
     packed   each block's values less its minimum, `width` low bits each
     patches  of each exception: place in its block u16, the bits above the width u32
+    end      a line end, as Spark's writer of text files leaves it
 
 A block's width is a percentile of its values' bit lengths; values that need more bits leave the rest in the exception
-list. The index makes any block readable alone. Segments end at documents and are rows of a table written by Spark, so
-that a file system which only Spark reaches will do, and a task that is run again leaves no second copy.
+list. The index makes any block readable alone. Segments end at documents. Each is a file of its own: Spark's text writer
+puts a row's bytes into a file as they are, by whatever file system it reaches, and commits a task's files once, so a
+task that is run again leaves no second copy. Files are read back by Spark's reader of binary files.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import parallel, pieces, stored
+from .common import cut, parallel, pieces, shared_dir
 from .tokens import encoder
 
 BLOCK = 256
-_HEAD = struct.Struct("<4sIQQ")
+_HEAD = struct.Struct("<4sIQQQ")
 _INDEX = np.dtype([("start", "<u8"), ("patch", "<u8"), ("least", "<u4"), ("width", "u1")])
 
 
@@ -38,7 +41,7 @@ def _bit_length(v: np.ndarray) -> np.ndarray:
     return np.bitwise_count(v)
 
 
-def encode(ids: np.ndarray, doc_ids: list, counts: np.ndarray, percentile: float = 90.0) -> bytes:
+def encode(ids: np.ndarray, doc_ids: list, counts: np.ndarray, percentile: float = 90.0, number: int = 0) -> bytes:
     """A segment of the documents' ids, one after another."""
     n = len(ids)
     blocks = -(-n // BLOCK)
@@ -73,7 +76,7 @@ def encode(ids: np.ndarray, doc_ids: list, counts: np.ndarray, percentile: float
     at, place = np.nonzero(over)
     high = v[at, place] >> width[at].astype(np.uint32)
     has = np.array([d is not None for d in doc_ids], np.uint8)
-    parts = [_HEAD.pack(b"PFR1", BLOCK, len(doc_ids), n), np.array([d or 0 for d in doc_ids], "<i8"), has, np.asarray(counts, "<u4"), index, packed, place.astype("<u2"), high.astype("<u4")]
+    parts = [_HEAD.pack(b"PFR2", BLOCK, number, len(doc_ids), n), np.array([d or 0 for d in doc_ids], "<i8"), has, np.asarray(counts, "<u4"), index, packed, place.astype("<u2"), high.astype("<u4")]
     return b"".join(p if isinstance(p, bytes) else p.tobytes() for p in parts)
 
 
@@ -81,8 +84,8 @@ class Segment:
     """A segment file that has been read; blocks are decoded on demand."""
 
     def __init__(self, data: bytes):
-        magic, block, docs, self.n = _HEAD.unpack_from(data)
-        if magic != b"PFR1" or block != BLOCK:
+        magic, block, self.number, docs, self.n = _HEAD.unpack_from(data)
+        if magic != b"PFR2" or block != BLOCK:
             raise ValueError("not a segment file")
         at = _HEAD.size
 
@@ -129,11 +132,12 @@ class Segment:
         return (v + index["least"][:, None]).reshape(-1)[lo - a * BLOCK : hi - a * BLOCK].astype("<u4")
 
 
-def write(docs: DataFrame, vocabulary: str, end_id: int = 2, segment_ids: int = 1 << 20, percentile: float = 90.0) -> DataFrame:
-    """Segments (segment long, n_docs long, n_ids long, data binary) of the documents' ids in ascending doc_id order.
+def write(docs: DataFrame, vocabulary: str, path: str | None = None, end_id: int = 2, segment_ids: int = 1 << 20, percentile: float = 90.0) -> DataFrame:
+    """Writes the documents' ids in ascending doc_id order to files under path (a new folder of the shared one if not given); gives back files(path).
 
     Null doc_ids come first, equal ones in the order of their texts; a null text is empty, so it is the end id alone.
-    An empty table makes an empty table. Segments are cut after the document that fills `segment_ids`.
+    Repeated rows are written as often. An empty table makes no file. Segments are cut after the document that fills
+    `segment_ids`, so a longer text makes a longer file (of 2 GB at most); a task holds about 30 bytes for a byte of it.
     """
 
     def run(batches):
@@ -143,8 +147,8 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = 2, segment_ids: int =
         ids, names, counts, held, k = [], [], [], 0, 0
 
         def segment():
-            data = encode(np.frombuffer(b"".join(ids), "<u4"), names, np.array(counts, "<u4"), percentile)
-            return pa.RecordBatch.from_arrays([pa.array([part + k]), pa.array([len(names)]), pa.array([held]), pa.array([data], pa.binary())], names=["segment", "n_docs", "n_ids", "data"])
+            data = encode(np.frombuffer(b"".join(ids), "<u4"), names, np.array(counts, "<u4"), percentile, part + k)
+            return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["data"])
 
         for batch in batches:
             for b in pieces(batch, 1, most_bytes=1 << 21):
@@ -162,12 +166,33 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = 2, segment_ids: int =
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.repartitionByRange(parallel(docs), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return stored(rows.mapInArrow(run, "segment long, n_docs long, n_ids long, data binary"))
+    path = path or f"{shared_dir(docs.sparkSession).rstrip('/')}/files-{uuid.uuid4().hex}"
+    rows.mapInArrow(run, "data binary").select(F.col("data").cast("string")).write.option("maxRecordsPerFile", 1).text(path)
+    return files(docs.sparkSession, path)
+
+
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, n_bytes, segment, n_docs, n_ids, data) of each file under path; the numbers are those of its header."""
+    found = spark.read.format("binaryFile").load(path).filter("length > 1")
+
+    def number(at: int):
+        """A little-endian integer of eight bytes."""
+        return F.conv(F.concat(*[F.hex(F.substring("content", at + k, 1)) for k in range(8, 0, -1)]), 16, 10).cast("long")
+
+    return found.select("path", F.col("length").alias("n_bytes"), number(8).alias("segment"), number(16).alias("n_docs"), number(24).alias("n_ids"), F.col("content").alias("data"))
 
 
 def read(segments: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids binary) of every document in the segment files; start counts all ids before it."""
-    before = segments.select("segment", "n_ids").withColumn("base", F.sum("n_ids").over(Window.orderBy("segment")) - F.col("n_ids")).select("segment", "base")
+    """(doc_id, start, n_tokens, ids binary) of every document in the files; start counts all ids before it.
+
+    The starts of segments are a running sum within the part that a task has written, and one over the parts' totals: a row
+    for each task.
+    """
+    heads = cut(segments.select("segment", F.shiftright("segment", 32).alias("part"), "n_ids"))
+    upto = (Window.unboundedPreceding, 0)
+    parts = heads.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("base", F.sum("n").over(Window.orderBy("part").rowsBetween(*upto)) - F.col("n")).select("part", "base")
+    inner = heads.withColumn("own", F.sum("n_ids").over(Window.partitionBy("part").orderBy("segment").rowsBetween(*upto)) - F.col("n_ids"))
+    before = inner.join(parts, "part").select("segment", (F.col("base") + F.col("own")).alias("base"))
 
     def run(batches):
         for batch in batches:
@@ -184,16 +209,9 @@ def read(segments: DataFrame) -> DataFrame:
                     )
 
     docs = segments.select("segment", "data").mapInArrow(run, "segment long, doc_id long, local long, n_tokens long, ids binary")
-    return docs.join(F.broadcast(before) if segments.count() <= 100_000 else before, "segment").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids")
+    return docs.join(F.broadcast(before) if heads.count() <= 100_000 else before, "segment").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids")
 
 
 def token_files(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32), all read back from the files; see write and read for nulls, ties and empty tables."""
-    return read(write(docs, vocabulary, end_id)).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
-
-
-def file_bytes(segments: DataFrame) -> DataFrame:
-    """(segment, n_ids, n_bytes): what the files take."""
-    return segments.select("segment", "n_ids", F.octet_length("data").cast("long").alias("n_bytes"))
-
-
+    return read(write(docs, vocabulary, end_id=end_id)).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
