@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -67,31 +67,28 @@ def formatted(turns: DataFrame, template: Template = Template()) -> DataFrame:
     segments: array of (text, loss), in order; formatted: their texts joined; loss_spans: array of (start, length) in code
     points of formatted. valid: the machine accepts the roles and ends in a state where it may. Invalid conversations
     are formatted all the same. Null texts and roles are empty; turns are ordered by turn, nulls first, ties by role and
-    text; repeated rows are turns of their own. Rows with a null conv_id make up one conversation. An empty table gives an
+    text; repeated rows are turns of their own. A conversation is held whole by one task, some three times its size. Rows with a null conv_id make up one conversation. An empty table gives an
     empty table. Other columns are not read.
     """
     empty = F.lit("")
     rows = turns.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), empty).alias("role"), F.coalesce(F.col("text").cast("string"), empty).alias("text"))
-    convs = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    head = F.replace(_by_role(F.col("role"), template, lambda m: F.lit(m.start)), F.lit("{role}"), escape(F.col("role")))
+    tail = F.concat(_by_role(F.col("role"), template, lambda m: F.lit(m.end)), F.lit("\n"))
+    marked = rows.select("conv_id", "turn", "role", "text", head.alias("head"), escape(F.col("text")).alias("body"), tail.alias("tail"), _by_role(F.col("role"), template, lambda m: F.lit(m.loss)).alias("loss"))
+    # a turn's start in the formatted text is the running sum of the lengths before it; it also orders the turns
+    n = (F.length("head") + F.length("body") + F.length("tail")).cast("long")
+    upto = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
+    placed = marked.withColumn("at", F.sum(n).over(upto) - n)
+    convs = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("at", "role", "head", "body", "tail", "loss"))).alias("turns"))
 
     def segments(t: Column) -> Column:
-        start = F.replace(_by_role(t["role"], template, lambda m: F.lit(m.start)), F.lit("{role}"), escape(t["role"]))
-        loss = _by_role(t["role"], template, lambda m: F.lit(m.loss))
-        end = _by_role(t["role"], template, lambda m: F.lit(m.end))
         no = F.lit(False)
-        return F.array(F.struct(start.alias("text"), no.alias("loss")), F.struct(escape(t["text"]).alias("text"), loss.alias("loss")), F.struct(F.concat(end, F.lit("\n")).alias("text"), no.alias("loss")))
+        return F.array(F.struct(t["head"].alias("text"), no.alias("loss")), F.struct(t["body"].alias("text"), t["loss"].alias("loss")), F.struct(t["tail"].alias("text"), no.alias("loss")))
 
     state = F.aggregate("turns", F.lit("start"), lambda s, t: _next_state(s, t["role"], template))
-    out = convs.select("conv_id", F.size("turns").cast("long").alias("n_turns"), state.isin(*template.last).alias("valid"), F.flatten(F.transform("turns", segments)).alias("segments"))
-    # starts of the segments: a running sum of their lengths, kept with the spans so far
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
-
-    def step(acc: Column, s: Column) -> Column:
-        n = F.length(s["text"]).cast("long")
-        here = F.array(F.struct(acc["at"].alias("start"), n.alias("length")))
-        return F.struct((acc["at"] + n).alias("at"), F.when(s["loss"], F.concat(acc["spans"], here)).otherwise(acc["spans"]).alias("spans"))
-
-    return out.select("*", F.concat_ws("", F.transform("segments", lambda s: s["text"])).alias("formatted"), F.aggregate("segments", zero, step, lambda acc: acc["spans"]).alias("loss_spans"))
+    spans = F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: F.struct((t["at"] + F.length(t["head"])).alias("start"), F.length(t["body"]).cast("long").alias("length")))
+    whole = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["head"], t["body"], t["tail"])))
+    return convs.select("conv_id", F.size("turns").cast("long").alias("n_turns"), state.isin(*template.last).alias("valid"), F.flatten(F.transform("turns", segments)).alias("segments"), whole.alias("formatted"), spans.alias("loss_spans"))
 
 
 def _quoted(text: str) -> str:
@@ -99,7 +96,7 @@ def _quoted(text: str) -> str:
 
 
 def read_back(output: DataFrame, template: Template = Template()) -> DataFrame:
-    """(conv_id, turns array of (role, text), loss_text array) from the formatted text and its loss spans alone."""
+    """(conv_id, valid, turns array of (role, text), loss_text array, formatted_chars); turns and texts from the formatted text and its loss spans alone."""
     starts = [_quoted(m.start) for m in template.marks.values()]
     head, tail = (_quoted(x) for x in template.other.start.split("{role}"))
     pattern = f"({'|'.join([*starts, f'{head}[^<\\[\\]]*{tail}'])})([^<\\[]*)"
@@ -113,12 +110,12 @@ def read_back(output: DataFrame, template: Template = Template()) -> DataFrame:
 
     found = [F.regexp_extract_all("formatted", F.lit(pattern), F.lit(k)) for k in (1, 2)]
     loss = F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int"))))
-    return output.select("conv_id", F.zip_with(*found, turn).alias("turns"), loss.alias("loss_text"), F.length("formatted").cast("long").alias("formatted_chars"))
+    return output.select("conv_id", "valid", F.zip_with(*found, turn).alias("turns"), loss.alias("loss_text"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
 def digest(output: DataFrame, template: Template = Template()) -> DataFrame:
-    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read back from formatted conversations."""
+    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, valid), read back from formatted conversations; valid is the machine's verdict."""
     back = read_back(output, template)
     whole = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
     loss = F.concat_ws("", "loss_text")
-    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars", "valid")
