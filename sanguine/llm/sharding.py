@@ -32,11 +32,6 @@ def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int
         return int(rng.hypergeometric(good, bad, n))
     lo, hi = max(0, n - bad), min(n, good)
     mode = min(hi, max(lo, (n + 1) * (good + 1) // (good + bad + 2)))
-    lf = math.lgamma
-
-    def log_p(k: int) -> float:
-        return lf(good + 1) - lf(k + 1) - lf(good - k + 1) + lf(bad + 1) - lf(n - k + 1) - lf(bad - n + k + 1) - lf(good + bad + 1) + lf(n + 1) + lf(good + bad - n + 1)
-
     spread = 12 * int(math.sqrt(n * (good / (good + bad)) * (bad / (good + bad)) * max(1.0, good + bad - n) / (good + bad)) + 1) + 40
     ks = np.arange(max(lo, mode - spread), min(hi, mode + spread) + 1)
     # ratios p(k+1)/p(k) from the first value on: the weights need no more than their logarithms' differences
@@ -139,6 +134,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, seed: int = 20240501, cell
     size: the text's UTF-8 bytes plus 1, a null text has none; text_crc32: of the same bytes (null text: of none, 0).
     law is always `rows`: counts at most one apart, whatever texts, ids or sources repeat; grown_shard is null.
     Null and repeated doc_ids are kept. An empty table gives an empty table. Other columns are not read.
+    Texts of any length are hashed where they lie; only ids and sizes are moved.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     small = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
