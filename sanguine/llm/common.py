@@ -19,15 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it; only where it is unset (tests) a folder of our own."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it; only where it is unset (tests) a folder in the warehouse, which is shared as well."""
     sc = spark.sparkContext
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            sc.setCheckpointDir(found)
-        return found
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir("/tmp/checkpoints")
-    return sc._jsc.sc().getCheckpointDir().get()
+        sc.setCheckpointDir(found)
+    return found
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -36,13 +33,43 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(True)
 
 
+#: Tables that `stored` has written and nothing has removed yet.
+_TABLES: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written once as a table in the shared folder; for rows that carry texts or token ids."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _TABLES.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def alone(spark: SparkSession, make) -> DataFrame:
+    """make(), stored; the tables that were written on the way are removed."""
+    before = len(_TABLES)
+    out = stored(make())
+    for path in _TABLES[before:-1]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    del _TABLES[before:-1]
+    return out
+
+
+def by_key(rows: DataFrame, small: DataFrame, key: str, size: str, most: int = 100_000) -> DataFrame:
+    """rows joined (left) with small, which has each key once and in column `size` how many rows have it.
+
+    Keys of over 1000 rows, and of more than a share 1 / most of all, are joined by a broadcast of at most `most` keys, so
+    that their rows stay where they are; all others are shuffled.
+    """
+    total = small.agg(F.sum(size)).first()[0] or 0
+    hot = cut(small.filter(F.col(size) > max(1000, total // most)).drop(size))
+    cold = small.drop(size)
+    if hot.isEmpty():
+        return rows.join(cold, key, "left")
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, "left"))
+
+
 def parallel(df: DataFrame) -> int:
     """Shuffle partitions to ask for where a shuffle has to be named."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -1,7 +1,7 @@
 import numpy as np
 import xxhash
 
-from sanguine.llm.simhash import fingerprint, near_duplicates, trie_join
+from sanguine.llm.simhash import Forest, _signed, blocks, fingerprint, joined, links, near_duplicates, trie_join, walk
 
 
 def slow_fingerprint(text):
@@ -50,11 +50,56 @@ def test_fingerprint():
 def test_trie_join_matches_all_pairs():
     rng = np.random.default_rng(3)
     keys = clustered(rng, 700)
-    for leaf in (1, 64):
-        got = trie_join(np.array(keys, np.uint64), np.zeros(len(keys), int), 4, leaf=leaf, chunk=50)
+    for chunk in (3, 50, 1 << 15):
+        got = trie_join(np.array(keys, np.uint64), np.zeros(len(keys), int), 4, chunk=chunk)
         assert got.tolist() == slow_components(keys)
 
 
+def test_walk_carries_differing_bits():
+    """Two nodes that are apart: only links between them, counted with the bits that differ above."""
+    rng = np.random.default_rng(9)
+    a, b = (sorted({int(x) >> 8 | top << 56 for x in rng.integers(0, 1 << 12, 60, dtype=np.uint64) << np.uint64(8)}) for top in (0b0011, 0b0110))
+    keys = np.array(a + b, np.uint64)
+    one = lambda *x: tuple(np.array([v]) for v in x)
+    forest = Forest(len(keys))
+    assert walk(keys, one(0, len(a), len(a), len(keys)), 4, *one(8, 2), forest) > 50
+    label = list(range(len(keys)))
+    for i in range(len(a)):
+        for j in range(len(a), len(keys)):
+            if (int(keys[i]) ^ int(keys[j])).bit_count() <= 4:
+                x, y = sorted((label[i], label[j]))
+                label = [x if v == y else v for v in label]
+    assert forest.label.tolist() == label
+
+
+def test_nodes_are_split_on_the_documents(spark):
+    """At sf0.1 each of the tries is walked down well below its roots, and links come from leaves of one fingerprint only."""
+    texts = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text")
+    fps = np.array(sorted({fingerprint((r.text or "").encode()) for r in texts.collect()}), np.uint64)
+    for first, width in blocks(4):
+        key = np.sort(fps << np.uint64(first) | (fps >> np.uint64(64 - first) if first else np.uint64(0)))
+        root = (key >> np.uint64(64 - width)).astype(np.int64)
+        n = len(key)
+        zero = np.zeros(n, np.int64)
+        a, b, splits = joined([zero, root, zero, zero, zero, zero, key.view(np.int64)], 4)
+        roots = np.unique(root, return_counts=True)[1]
+        assert splits > 3 * (roots > 1).sum() and len(a)
+
+
+def test_links_of_split_roots(spark):
+    """Roots over `most` are walked as pairs of their descendants: the components stay those of all pairs."""
+    keys = clustered(np.random.default_rng(12), 500)
+    want = slow_components(keys)
+    df = spark.createDataFrame([(_signed(k),) for k in keys], "fp long")
+    for most in (1 << 18, 16, 2):
+        label = list(range(len(keys)))
+        place = {_signed(k): n for n, k in enumerate(keys)}
+        for r in links(df, most=most).collect():
+            x, y = sorted((label[place[r.a]], label[place[r.b]]))
+            label = [x if v == y else v for v in label]
+        assert label == want
+
+
 def test_near_duplicates(spark):
     rng = np.random.default_rng(5)
     words = [f"w{k}" for k in range(60)]
