@@ -40,7 +40,11 @@ def shingles(text: bytes | None, width: int, seed: int) -> list[bytes]:
 
 def fingerprint(text: bytes | None, width: int = 4, seed: int = 42) -> int:
     """Majority of each bit over the XXH64 of all shingles, repeats included; 0 for a text without words."""
-    hashes = shingles(text, width, seed)
+    return majority(shingles(text, width, seed))
+
+
+def majority(hashes: list[bytes]) -> int:
+    """The number whose bits are set in over half of the hashes; 0 of none."""
     if not hashes:
         return 0
     h = np.frombuffer(b"".join(hashes), np.uint8).reshape(-1, 8)

@@ -1,5 +1,8 @@
-"""Near-duplicates by an exact set-similarity join: all pairs of texts whose sets of word shingles have a Jaccard similarity
-of at least `similarity` are linked.
+"""Near-duplicates at a Jaccard similarity of word shingles: SimHash links first, an exact set-similarity join for the rest.
+
+SimHash fingerprints within a few bits are found by the trie join (`simhash`) and kept if the whole sets of shingles are
+similar enough. At a similarity of 0.8 two 64-bit fingerprints differ in some ten bits, sixteen at times; with such a budget
+the tries would prune nothing. So the links that are left are found by an exact join:
 
 A set is the 64-bit hashes of a text's shingles. In any order of all shingles, two sets that are similar enough share one
 of their first n - ceil(similarity * n) + 1 shingles; so these prefixes are joined and no pair is missed. Shingles that a
@@ -7,8 +10,9 @@ sample finds in several texts come last in the order, which changes the cost, no
 sizes, the shingle's places in both sets and a sketch of parities, all of which only rule out pairs that cannot be similar
 enough, and then the comparison of the whole sets.
 
-Large groups of near copies are linked in two steps: each shared shingle's texts with one of them first, then the pairs
-that are still in different components, so that what is compared doesn't grow with the square of such a group.
+Large groups of near copies are linked in two steps: SimHash's links and each shared shingle's texts with one of them first,
+then the pairs that are still in different components, so that what is compared doesn't grow with the square of such a
+group.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, cut, parallel, pieces, stored
 from .components import components
-from .simhash import shingles
+from .simhash import _signed, links, majority, shingles
 
 SAMPLE = 4096
 MOST_COMMON = 1 << 17
@@ -31,7 +35,11 @@ MOST_COMMON = 1 << 17
 
 def shingle_set(text: bytes | None, width: int = 5, seed: int = 42) -> np.ndarray:
     """Hashes of a text's different shingles, ascending; none for a text without words."""
-    return np.unique(np.frombuffer(b"".join(shingles(text, width, seed)), np.uint64))
+    return distinct(shingles(text, width, seed))
+
+
+def distinct(hashes: list[bytes]) -> np.ndarray:
+    return np.unique(np.frombuffer(b"".join(hashes), np.uint64))
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -156,7 +164,16 @@ def _labelled(rows: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
 
 
-def similar_classes(rows: DataFrame, similarity: float = 0.8, width: int = 5, seed: int = 42) -> DataFrame:
+def _simhash_pairs(sets: DataFrame, budget: int) -> DataFrame:
+    """(a, b): sets whose fingerprints are equal, and a spanning forest of those whose fingerprints differ in `budget` bits at most."""
+    first = cut(sets.groupBy("fp").agg(F.min("key").alias("first")))
+    same = sets.join(first, "fp").filter("key != first").select("key", F.col("first").alias("b"))
+    sides = [first.select(F.col("fp").alias(c), F.col("first").alias(f"k{c}")) for c in "ab"]
+    near = links(first, budget).join(sides[0], "a").join(sides[1], "b").select(F.col("ka").alias("key"), F.col("kb").alias("b"))
+    return same.unionByName(near)
+
+
+def similar_classes(rows: DataFrame, similarity: float = 0.8, width: int = 5, seed: int = 42, budget: int = 4) -> DataFrame:
     """(__uid, __class) of rows (__uid, text): rows are of one class where links between similar texts lead from one to the other.
 
     A text of fewer than `width` words is one shingle; texts without words (null, empty, white space) are all alike, and
@@ -168,18 +185,20 @@ def similar_classes(rows: DataFrame, similarity: float = 0.8, width: int = 5, se
     def run(batches):
         for batch in batches:
             for b in pieces(batch, 1):
-                found = [shingle_set(t, width, seed) for t in as_bytes(b.column(1))]
+                hashes = [shingles(t, width, seed) for t in as_bytes(b.column(1))]
+                found = [distinct(h) for h in hashes]
                 cols = [
+                    pa.array([_signed(majority(h)) for h in hashes], pa.int64()),
                     pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes(), seed) for s in found], np.uint64).view(np.int64)),
                     pa.array([len(s) for s in found], pa.int32()),
                     pa.array([sketch(s) for s in found], pa.binary()),
                     pa.array([prefix(s, shared_common.value, similarity).tobytes() for s in found], pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["__uid", "key", "n", "sketch", "prefix"])
+                yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["__uid", "fp", "key", "n", "sketch", "prefix"])
 
-    every = stored(rows.select("__uid", "text").mapInArrow(run, "__uid long, key long, n int, sketch binary, prefix binary"))
+    every = stored(rows.select("__uid", "text").mapInArrow(run, "__uid long, fp long, key long, n int, sketch binary, prefix binary"))
     sets = every.join(every.groupBy("key").agg(F.min("__uid").alias("__uid")).select("__uid"), "__uid", "left_semi")  # one row of equal sets
-    small = cut(sets.select("key", "__uid", "n", "sketch"))
+    small = cut(sets.select("key", "__uid", "fp", "n", "sketch"))
     shared = stored(_shared(sets))
 
     first = shared.groupBy("h").agg(F.min(F.struct(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("at").alias("bt"))).alias("f")).select("h", "f.b", "f.nb", "f.bt")
@@ -188,7 +207,8 @@ def similar_classes(rows: DataFrame, similarity: float = 0.8, width: int = 5, se
     def ordered(df: DataFrame) -> DataFrame:
         return df.select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b"))
 
-    edges = _verified(ordered(shared.join(first, "h").filter((F.col("key") != F.col("b")) & near)), rows, small, similarity, width, seed)
+    pairs = ordered(_simhash_pairs(small.select("key", "fp"), budget)).unionByName(ordered(shared.join(first, "h").filter((F.col("key") != F.col("b")) & near)))
+    edges = _verified(pairs, rows, small, similarity, width, seed)
     # of a shingle's texts, those in its largest component need to meet the others only
     apart = stored(_labelled(shared, edges))
     large = apart.groupBy("h", "label").agg(F.count("*").alias("size")).groupBy("h").agg(F.max_by("label", F.struct("size", "label")).alias("large"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
@@ -203,10 +223,15 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, width: int = 5, seed:
     """docs with one row of each group of near-duplicates, the one with the smallest doc_id; all columns stay.
 
     Rows with null or repeated doc_ids count one by one: of equal ids the first row read stays, null ids only where the
-    group has no other. docs has to read the same rows in the same order each time, as a table does.
+    group has no other. Texts without words are one group. Columns of any name stay. An empty table gives an empty table.
+    A text's shingles are hashed in one task: about 60 bytes a word. The rows are numbered in a table that is written first.
     """
-    rows = docs.withColumn("__uid", F.monotonically_increasing_id())
-    classes = similar_classes(rows.select("__uid", F.col("text").cast("string").alias("text")), similarity, width, seed)
+    number = "__uid"
+    while number in docs.columns:
+        number += "_"
+    rows = stored(docs.withColumn(number, F.monotonically_increasing_id()))
+    ids = rows.select(F.col(number).alias("__uid"), "doc_id")
+    classes = similar_classes(rows.select(F.col(number).alias("__uid"), F.col("text").cast("string").alias("text")), similarity, width, seed)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__uid"))
-    kept = rows.select("__uid", "doc_id").join(classes, "__uid").groupBy("__class").agg(first.alias("x")).select(F.col("x.__uid").alias("__uid"))
-    return rows.join(kept, "__uid", "left_semi").drop("__uid").select(docs.columns)
+    kept = ids.join(classes, "__uid").groupBy("__class").agg(first.alias("x")).select(F.col("x.__uid").alias(number))
+    return rows.join(kept, number, "left_semi").select(docs.columns)

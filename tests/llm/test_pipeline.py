@@ -10,7 +10,7 @@ from sanguine.llm.tokens import Encoder, vocabulary
 
 from .test_decontaminate import slow as slow_overlaps
 from .test_quality import slow as slow_counts
-from .test_simhash import slow_components, slow_fingerprint
+from .test_similar import slow_classes
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,7 +39,7 @@ def test_stages_against_brute_force(spark, tmp_path):
             assert 0.6 * len(before) < len(now) < len(before)
         elif name == "near_dedup":
             ids = sorted(before)
-            label = slow_components([slow_fingerprint(before[i].text) for i in ids])
+            label = slow_classes([before[i].text for i in ids])
             assert sorted(now) == sorted({ids[c] for c in label})
         elif name == "decontamination":
             items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]

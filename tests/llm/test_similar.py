@@ -64,3 +64,10 @@ def test_one_of_each(spark):
     docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, source string")
     assert sorted(r.doc_id for r in one_of_each(docs).collect()) == want
     assert one_of_each(docs.limit(0)).collect() == []
+
+
+def test_clashing_columns_and_ids(spark):
+    texts = ["a b c d e f", "A b c d e f", None, "", "x y"]
+    df = spark.createDataFrame([(i, t, k, "z") for k, (i, t) in enumerate(zip([None, 4, None, None, 4], texts, strict=True))], "doc_id long, text string, __uid int, __class string")
+    got = one_of_each(df)
+    assert got.columns == df.columns and sorted(r["__uid"] for r in got.collect()) in ([1, 2, 4], [1, 3, 4])
