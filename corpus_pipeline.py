@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sanguine.llm.common import stored, table
+from sanguine.llm.common import alone, table
 from sanguine.llm.decontaminate import decontaminated
 from sanguine.llm.packing import pack
 from sanguine.llm.pii import redact
@@ -24,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a Jaccard similarity of 0.8 or more of their five-word shingles."""
+    """One document of each group linked by a Jaccard similarity of 0.8 or more of their five-word shingles: SimHash links, completed by an exact join."""
     return one_of_each(docs)
 
 
@@ -53,5 +53,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        docs = alone(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
