@@ -177,11 +177,11 @@ def peak_snr(power: np.ndarray, freqs: np.ndarray, centre: float, sigma: float)
     return float(power[near].sum() / rest) if rest >= 1e-7 else 0.0
 
 
-def snr_db(power: np.ndarray, freqs: np.ndarray, bpm: float, tolerance: float = 12.0) -> np.ndarray:
-    """10 log10 of the power around the rate and its double over the rest, by row."""
+def snr_db(power: np.ndarray, freqs: np.ndarray, bpm: float | np.ndarray, tolerance: float = 12.0) -> np.ndarray:
+    """10 log10 of the power around the rate (one, or a column of one for each row) and its double over the rest, by row."""
     near = (np.abs(freqs - bpm) <= tolerance) | (np.abs(freqs - 2 * bpm) <= tolerance)
     with np.errstate(divide="ignore", invalid="ignore"):
-        return 10 * np.log10(power[:, near].sum(1) / power[:, ~near].sum(1))
+        return 10 * np.log10((power * near).sum(1) / (power * ~near).sum(1))
 
 
 def psnr(a: np.ndarray, b: np.ndarray) -> float:

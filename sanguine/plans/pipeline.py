@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import align, filters, metrics, pulse, windows
 from .config import JobSpec, MethodSpec
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (tests) one in the warehouse."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, so that what is read more than once is worked out once."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/signals-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def windowed(rgb: DataFrame, fps: float, window: float = 8.0, stride: float = 1.0) -> DataFrame:
     """rgb_signal (video_id, estimator_id, frame_idx, r, g, b) as windows of arrays: one shuffle serves all methods."""
     return windows.window_arrays(rgb, fps, window, stride)
@@ -41,7 +55,8 @@ def run(rgb: DataFrame, truth: DataFrame, fps: float, spec: JobSpec) -> DataFram
     """Videos x methods -> metrics, as result rows (method, dataset, video_id, RMSE, MAE, MAX, PCC, CCC, SNR).
 
     truth: (video_id, t, bpm). Windows are made once; each method adds a projection of them, and all methods' estimates
-    meet the truth in one alignment and one aggregation.
+    meet the truth in one alignment and one aggregation. Signals and aligned rates are written to the shared folder, since
+    rates, errors and SNR all read them.
     """
     if spec.videos is not None:
         rgb = rgb.filter(F.col("video_id").isin(*spec.videos))
@@ -51,8 +66,9 @@ def run(rgb: DataFrame, truth: DataFrame, fps: float, spec: JobSpec) -> DataFram
     for m in spec.methods:
         own = signals(wins, fps, m, gate).select("video_id", "estimator_id", "output", "win_idx", "t_center", "method", "bvp")
         bvps = own if bvps is None else bvps.unionByName(own)
+    bvps = written(bvps)
     es = estimates(bvps, fps, spec.estimate, spec.min_hz, spec.max_hz)
-    aligned = align.nearest(es, truth)
+    aligned = written(align.nearest(es, truth))
     errors = metrics.errors(aligned)
     at = aligned.select("video_id", "method", "win_idx", "bpm_gt")
     loud = metrics.snr(bvps, at.groupBy("video_id", "win_idx").agg(F.first("bpm_gt").alias("bpm_gt")), fps)
