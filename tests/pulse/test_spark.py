@@ -187,4 +187,4 @@ def test_natural_order_keeps_every_customer(spark):
     sf = "/root/testdata/sf0.001"
     names = sorted(r.c_name for r in spark.read.parquet(f"{sf}/customer.parquet").collect())  # numbers of equal length
     got = {q: sorted((r.place, r.c_name) for r in QUERIES[q](spark, sf).collect()) for q in ("T04_natural_order", "T04_natural_order_all")}
-    assert got == {"T04_natural_order": list(enumerate(names, 1))[:50], "T04_natural_order_all": list(enumerate(names, 1))} and len(names) > 50
+    assert got == {"T04_natural_order": list(enumerate(names, 1)), "T04_natural_order_all": list(enumerate(names, 1))} and len(names) > 50
