@@ -56,7 +56,7 @@ def alone(spark: SparkSession, make) -> DataFrame:
     return out
 
 
-def by_key(rows: DataFrame, small: DataFrame, key: str, size: str, most: int = 100_000) -> DataFrame:
+def by_key(rows: DataFrame, small: DataFrame, key: str | list[str], size: str, most: int = 100_000) -> DataFrame:
     """rows joined (left) with small, which has each key once and in column `size` how many rows have it.
 
     Keys of over 1000 rows, and of more than a share 1 / most of all, are joined by a broadcast of at most `most` keys, so

@@ -12,8 +12,10 @@ comparing neighbours; to do so over many tasks, equal strings have to meet in on
     whose common prefix with a neighbour reaches `width`, or whose context stands for several, are repeated.
  4. The repeated windows go back to all texts that have the context, and the bytes they cover are cut out.
 
-A k-gram with more than `most` different contexts (a passage in many surroundings) isn't brought together: its contexts'
-windows are counted by 128-bit hashes instead, with partial sums on the way. That path is exact too, and takes any size.
+A k-gram with more than `most` different contexts (a passage in many surroundings) is brought together by longer strings:
+its contexts are split into blocks of windows with like places of the anchor, and the bytes that all windows of a block have
+in common take the k-gram's place. Equal blocks are again one, with their number. Blocks shrink to single windows at last,
+where the common bytes are the window itself and one context is left. So every window goes through the suffix sort.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, parallel, pieces, stored
+from .common import as_bytes, by_key, parallel, pieces, stored
 from .words import _power, mix
 
 WIDTH, GRAM = 200, 48
@@ -40,13 +42,14 @@ def _key(text: bytes) -> tuple[int, int]:
 
 
 def anchors(texts: list[bytes], width: int = WIDTH, gram: int = GRAM):
-    """Of each context: (text, first window's start in the text, number of windows, k-gram hash, context hash), as arrays."""
+    """Of each context: (text, first window's start in the text, number of windows, anchor's place in the first window, k-gram
+    hash, context hash), as arrays."""
     sizes = np.array([len(t) for t in texts], np.int64)
     a = np.frombuffer(b"".join(texts), np.uint8)
     n, span = len(a), width - gram + 1
     none = np.zeros(0, np.int64)
     if n < width:
-        return none, none, none, none, none
+        return none, none, none, none, none, none
     power, inverse = _power(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((a.astype(np.uint64) + np.uint64(1)) * power[:-1], out=sums[1:])
@@ -68,7 +71,7 @@ def anchors(texts: list[bytes], width: int = WIDTH, gram: int = GRAM):
     first, anchor = place[new], anchor[new]
     end = first + runs - 1 + width
     c = mix((sums[end] - sums[first]) * inverse[first] + mix((anchor - first).astype(np.uint64) << np.uint64(32) | runs.astype(np.uint64)))
-    return text[new], at[new], runs, h[anchor].view(np.int64), c.view(np.int64)
+    return text[new], at[new], runs, anchor - first, h[anchor].view(np.int64), c.view(np.int64)
 
 
 def _words_at(t: np.ndarray) -> np.ndarray:
@@ -162,7 +165,6 @@ def repeated(contexts: list[bytes], windows: np.ndarray, several: np.ndarray, wi
     body = t.astype(np.int16)
     step = np.flatnonzero(body[:n] != body[1 : n + 1])
     kind = body[step] < body[step + 1]
-    smaller = np.zeros(n, bool)
     after = np.searchsorted(step, np.arange(n))
     smaller = kind[np.minimum(after, len(step) - 1)]
     goal = np.flatnonzero(smaller)
@@ -199,7 +201,10 @@ _RUNS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
 def occurrences(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """(h, c, k1, k2, first, n): each context of each text; texts that repeat within a batch are taken once with `copies`."""
+    """(h, c, k1, k2, at, copies): each context of each text; texts that repeat within a batch are taken once with `copies`.
+
+    `at` holds the first window's start, the anchor's place in it (16 bits) and the number of windows (16 bits).
+    """
 
     def run(batches):
         for batch in batches:
@@ -211,8 +216,8 @@ def occurrences(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFr
                 texts = list(own)
                 keys = np.array([_key(t) for t in texts], np.int64).reshape(-1, 2)
                 copies = np.array(list(own.values()), np.int64)
-                text, first, n, h, c = anchors(texts, width, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, c, keys[text, 0], keys[text, 1], first << 16 | n, copies[text])], names=["h", "c", "k1", "k2", "at", "copies"])
+                text, first, n, place, h, c = anchors(texts, width, gram)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, c, keys[text, 0], keys[text, 1], first << 32 | place << 16 | n, copies[text])], names=["h", "c", "k1", "k2", "at", "copies"])
 
     return docs.select("text").mapInArrow(run, "h long, c long, k1 long, k2 long, at long, copies long")
 
@@ -231,35 +236,19 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, k1 long, k2 long, z binary")
 
 
-def repeated_contexts(texts: DataFrame, found: DataFrame, width: int = WIDTH, most: int = 4096) -> DataFrame:
-    """(h, c, runs): of each context that has repeated windows the runs [a, b) of their numbers."""
-    single = found.groupBy("h", "c").agg(F.sum("copies").alias("m"), F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.first("at").alias("at"))
-    single = stored(single)
-    hot = single.groupBy("h").count().filter(F.col("count") > most).select("h", F.lit(True).alias("hot"))
-    flagged = single.join(hot, "h", "left")
-    wanted = flagged.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "c", "m", "at", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("list"))
-    fetched = texts.dropDuplicates(["k1", "k2"]).join(wanted, ["k1", "k2"]).select("z", "list")
+_CONTEXT = "h long, c long, m long, n int, d int, hot boolean, context binary"
+
+
+def _marked(rows: DataFrame, most: int) -> tuple[DataFrame, bool]:
+    """(rows with a flag `hot` where more than `most` of them share their h, whether there are any)."""
+    hot = stored(rows.groupBy("h").agg(F.count("*").alias("size")).filter(F.col("size") > most).withColumn("hot", F.lit(True)))
+    if hot.isEmpty():
+        return rows.withColumn("hot", F.lit(False)), False
+    return by_key(rows, hot, "h", "size").withColumn("hot", F.coalesce("hot", F.lit(False))), True
 
-    def fetch(batches):
-        unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
-            size = 0
-            for z, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                text = unpack.decompress(z) if z else b""
-                for r in items:
-                    first, n = r["at"] >> 16, r["at"] & 0xFFFF
-                    context = text[first : first + n - 1 + width]
-                    size += len(context)
-                    for col, x in zip(out, (r["h"], r["c"], r["m"], n, r["hot"], context), strict=True):
-                        col.append(x)
-                if size > 1 << 22:
-                    yield _contexts(out)
-                    out, size = [[] for _ in range(6)], 0
-            yield _contexts(out)
 
-    contexts = stored(fetched.mapInArrow(fetch, "h long, c long, m long, n int, hot boolean, context binary"))
-    cold = contexts.filter("NOT hot").repartition(parallel(found), "h").sortWithinPartitions("h")
+def _sorted_contexts(contexts: DataFrame, width: int) -> DataFrame:
+    """(h, c, runs) of contexts whose k-grams have few enough: suffix sort of pieces with all contexts of a k-gram."""
 
     def judge(h: list, c: list, m: list, n: list, context: list) -> pa.RecordBatch:
         masks = repeated(context, np.array(n, np.int64), np.array(m) > 1, width)
@@ -280,27 +269,91 @@ def repeated_contexts(texts: DataFrame, found: DataFrame, width: int = WIDTH, mo
         if held:
             yield judge(*map(list, zip(*held, strict=True)))
 
-    sorted_out = cold.mapInArrow(sort, "h long, c long, runs array<struct<a:int,b:int>>")
+    together = contexts.repartition(parallel(contexts), "h").sortWithinPartitions("h")
+    return together.mapInArrow(sort, "h long, c long, runs array<struct<a:int,b:int>>")
+
+
+def blocks(context: bytes, n: int, d: int, step: int, width: int = WIDTH):
+    """(first window, windows, anchor's place in the first, k-gram hash, context hash, bytes) of each block of a context.
 
-    def each(batches):
+    The windows of a block have the anchor at places of the same `step`; `step - 1` bytes less than a window are common to all
+    windows that can be in the block, in whatever context, and give the k-gram's hash.
+    """
+    for q in range(d // step, (d - n + 1) // step - 1, -1):
+        first = max(0, d - q * step - step + 1)
+        last = min(n - 1, d - q * step)
+        part = context[first : last + width]
+        common = context[d - q * step : d - q * step + width - step + 1]
+        h = xxhash.xxh3_64_intdigest(common, step << 16 | q)
+        c = xxhash.xxh3_64_intdigest(part, (d - first) << 16 | (last - first + 1))
+        yield first, last - first + 1, d - first, h - (h >> 63 << 64), c - (c >> 63 << 64), part
+
+
+def _split(contexts: DataFrame, step: int, width: int) -> DataFrame:
+    """(h, c, k, h2, c2, m, n, d, context): the blocks of each context, with the number k of their first window in it."""
+    names = ["h", "c", "k", "h2", "c2", "m", "n", "d", "context"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+
+    def run(batches):
         for batch in batches:
             for b in pieces(batch, rows=256):
-                out: list[list] = [[] for _ in range(6)]
-                for h, c, m, n, context in zip(*(b.column(k).to_pylist() for k in ("h", "c", "m", "n", "context")), strict=True):
-                    for k in range(n):
-                        for col, x in zip(out, (*_key(context[k : k + width]), h, c, k, m), strict=True):
-                            col.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["w1", "w2", "h", "c", "k", "m"])
+                out: list[tuple] = []
+                for h, c, m, n, d, context in zip(*(b.column(x).to_pylist() for x in ("h", "c", "m", "n", "d", "context")), strict=True):
+                    out += [(h, c, k, h2, c2, m, size, place, part) for k, size, place, h2, c2, part in blocks(context, n, d, step, width)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+    return contexts.mapInArrow(run, "h long, c long, k int, h2 long, c2 long, m long, n int, d int, context binary")
+
+
+def _compared(contexts: DataFrame, hot: bool, steps: list[int], width: int, most: int) -> DataFrame:
+    """(h, c, runs) of contexts with their flag `hot`; hot ones are split into blocks of steps[0] windows and compared as such."""
+    few = _sorted_contexts(contexts.filter("NOT hot"), width)
+    if not hot:
+        return few
+    parts = stored(_split(contexts.filter("hot"), steps[0], width))
+    one = parts.groupBy("h2", "c2").agg(F.sum("m").alias("m"), F.count("*").alias("size"), F.first(F.struct("n", "d", "context")).alias("s"))
+    one = stored(one.select(F.col("h2").alias("h"), F.col("c2").alias("c"), "m", "size", "s.*"))
+    marked, more = _marked(one.drop("size"), most)
+    runs = _compared(marked, more, steps[1:], width, most)
+    runs = stored(runs.join(one.select("h", "c", "size"), ["h", "c"]).select(F.col("h").alias("h2"), F.col("c").alias("c2"), "runs", "size"))
+    back = by_key(parts.select("h", "c", "k", "h2", "c2"), runs, ["h2", "c2"], "size").filter("runs IS NOT NULL")
+    moved = F.transform("runs", lambda r: F.struct((r["a"] + F.col("k")).alias("a"), (r["b"] + F.col("k")).alias("b")))
+    return few.unionByName(back.groupBy("h", "c").agg(F.flatten(F.collect_list(moved)).alias("runs")))
+
+
+def repeated_contexts(texts: DataFrame, found: DataFrame, width: int = WIDTH, gram: int = GRAM, most: int = 4096) -> DataFrame:
+    """(h, c, runs): of each context that has repeated windows the runs [a, b) of their numbers."""
+    single = found.groupBy("h", "c").agg(F.sum("copies").alias("m"), F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.first("at").alias("at"))
+    flagged, hot = _marked(stored(single), most)
+    wanted = flagged.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "c", "m", "at", "hot")).alias("list"))
+    fetched = texts.dropDuplicates(["k1", "k2"]).join(wanted, ["k1", "k2"]).select("z", "list")
+
+    def fetch(batches):
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            out: list[list] = [[] for _ in range(7)]
+            size = 0
+            for z, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                text = unpack.decompress(z) if z else b""
+                for r in items:
+                    first, d, n = r["at"] >> 32, r["at"] >> 16 & 0xFFFF, r["at"] & 0xFFFF
+                    context = text[first : first + n - 1 + width]
+                    size += len(context)
+                    for col, x in zip(out, (r["h"], r["c"], r["m"], n, d, r["hot"], context), strict=True):
+                        col.append(x)
+                if size > 1 << 22:
+                    yield _contexts(out)
+                    out, size = [[] for _ in range(7)], 0
+            yield _contexts(out)
 
-    rows = contexts.filter("hot").mapInArrow(each, "w1 long, w2 long, h long, c long, k long, m long")
-    twice = rows.groupBy("w1", "w2").agg(F.sum("m").alias("total")).filter("total > 1").select("w1", "w2")
-    counted = rows.join(twice, ["w1", "w2"], "left_semi").groupBy("h", "c").agg(F.transform(F.collect_set("k"), lambda k: F.struct(k.cast("int").alias("a"), (k + 1).cast("int").alias("b"))).alias("runs"))
-    return sorted_out.unionByName(counted)
+    contexts = stored(fetched.mapInArrow(fetch, _CONTEXT))
+    span = width - gram + 1
+    return _compared(contexts, hot, [int(span**0.5) + 1, 1], width, most)
 
 
 def _contexts(out: list[list]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["h", "c", "m", "n", "hot", "context"])
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["h", "c", "m", "n", "d", "hot", "context"])
 
 
 def _kept(text: bytes, ranges) -> tuple[int, int, bytes]:
@@ -323,7 +376,8 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, most:
     Every byte is removed that a `width`-byte string covers which also starts anywhere else, in the same document too;
     strings don't cross documents and are judged on the input. Null texts are empty; texts shorter than `width` stay as
     they are; equal texts of `width` bytes or more vanish. Null and repeated doc_ids are kept as rows of their own. An
-    empty table gives an empty table. Other columns are not read.
+    empty table gives an empty table. Other columns are not read. A long text comes to a task alone and takes about eighty bytes
+    of memory for each of its own; `most` bounds the pieces that are sorted and changes no result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     every = occurrences(rows, width, gram)
@@ -331,8 +385,8 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, most:
     repeated_grams = stored(every.groupBy("h").agg(F.sum("copies").alias("m")).filter("m > 1").select("h"))
     found = stored(every.join(repeated_grams, "h", "left_semi"))
     texts = keyed(rows)
-    runs = repeated_contexts(texts, found, width, most)
-    first = F.shiftright("at", 16)
+    runs = repeated_contexts(texts, found, width, gram, most)
+    first = F.shiftright("at", 32)
     spans = found.select("h", "c", "k1", "k2", first.cast("int").alias("first")).join(runs, ["h", "c"]).select("k1", "k2", F.explode(F.transform("runs", lambda r: F.struct((F.col("first") + r["a"]).alias("a"), (F.col("first") + r["b"] - 1 + width).alias("b")))).alias("s"))
     ranges = stored(spans.groupBy("k1", "k2").agg(F.collect_set("s").alias("ranges")))
 

@@ -3,7 +3,7 @@ from collections import Counter
 
 import numpy as np
 
-from sanguine.llm.suffix import _words_at, two_stage, without_repeats
+from sanguine.llm.suffix import _words_at, blocks, two_stage, without_repeats
 
 
 def slow(texts, width):
@@ -53,7 +53,39 @@ def test_matches_brute_force(spark):
     ids = [None, *range(1, len(texts) - 1), 1]
     df = spark.createDataFrame([(i, t, k, 0) for k, (i, t) in enumerate(zip(ids, texts, strict=True))], "doc_id long, text string, h long, kept int").repartition(3)
     want = sorted((str(i), *w) for i, w in zip(ids, slow([(t or "").encode() for t in texts], 200), strict=True))
-    for most in (4096, 2):
+    for most in (4096, 2, 1):
         got = without_repeats(df, most=most).drop("kept").collect()
         assert sorted((str(r[0]), *r[1:]) for r in got) == want
     assert without_repeats(df.limit(0)).collect() == []
+
+
+def test_blocks_hold_each_window_once_and_equal_ones_meet():
+    rng = np.random.default_rng(3)
+    passage = bytes(rng.integers(97, 123, 260).astype(np.uint8))
+    for step in (13, 1):
+        where = []
+        for left, right in ((40, 60), (70, 20), (0, 0)):
+            context = bytes(left) + passage[: 260 - right]
+            n, d = len(context) - 199, left + 120  # the anchor is the passage's 120th byte
+            seen = {}
+            for k, size, place, h, c, part in blocks(context, n, d, step):
+                assert part == context[k : k + size + 199] and place == d - k and size <= step
+                seen |= {j: (h, context[j : j + 200]) for j in range(k, k + size)}
+            assert sorted(seen) == list(range(n))
+            where.append(seen.values())
+        met: dict = {}
+        for seen in where:
+            for h, w in seen:
+                met.setdefault(w, set()).add(h)
+        assert all(len(x) == 1 for x in met.values()), step
+
+
+def test_one_passage_in_many_surroundings(spark):
+    rng = np.random.default_rng(8)
+    line = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8)).decode()
+    passage = line(230)
+    texts = [line(int(rng.integers(0, 120))) + passage[int(rng.integers(0, 40)) :] + line(int(rng.integers(0, 120))) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want = [(k, *w) for k, w in enumerate(slow([t.encode() for t in texts], 200))]
+    got = without_repeats(df, most=20).drop("kept").orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == want
