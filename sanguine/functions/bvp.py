@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 
 
@@ -141,6 +143,14 @@ def ssr(correlations: np.ndarray, fps: float) -> np.ndarray:
 METHODS = {"GREEN": (green, False, False), "CHROM": (chrom, False, False), "POS": (pos, True, False), "LGI": (lgi, False, False), "PBV": (pbv, False, False), "PCA": (pca, False, True), "OMIT": (omit, False, False), "ICA": (ica, False, True)}
 
 
+def register(name: str, function, by_fps: bool = False, by_component: bool = False) -> None:
+    """Adds a method under its name: function(x, fps=, component=) of traces [n, 3, frames] gives [n x outputs, frames].
+
+    It takes the arguments it is registered for only. Nothing is loaded from paths; a task gets the function itself.
+    """
+    METHODS[name.upper()] = (function, by_fps, by_component)
+
+
 def plain_name(name: str) -> str:
     """A method's name without its device prefix."""
     for prefix in ("cpu_", "cupy_", "torch_"):
@@ -151,6 +161,11 @@ def plain_name(name: str) -> str:
     return name.upper()
 
 
-def extract(name: str, x: np.ndarray, fps: float, component: str = "second_comp") -> np.ndarray:
+def method(name: str, fps: float, component: str = "second_comp"):
+    """The method by name as a function of traces alone."""
     f, by_fps, by_component = METHODS[plain_name(name)]
-    return f(x, **{"fps": fps} if by_fps else {}, **{"component": component} if by_component else {})
+    return partial(f, **{"fps": fps} if by_fps else {}, **{"component": component} if by_component else {})
+
+
+def extract(name: str, x: np.ndarray, fps: float, component: str = "second_comp") -> np.ndarray:
+    return method(name, fps, component)(x)

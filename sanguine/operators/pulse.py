@@ -149,9 +149,11 @@ NATIVE = {"GREEN": lambda r, g, b: g, "CHROM": chrom, "OMIT": omit, "PBV": pbv}
 def _method_stage(rows: DataFrame, rest: list[str], name: str, fps: float, component: str) -> DataFrame:
     """(rest, output, bvp) of a numpy method, block by block of equal lengths."""
 
+    method = bvp.method(name, fps, component)  # looked up here: a task doesn't know what was registered
+
     def signals(block: np.ndarray) -> list:
         try:
-            return list(np.split(bvp.extract(name, block, fps, component), len(block)))
+            return list(np.split(method(block), len(block)))
         except np.linalg.LinAlgError:  # some signal of the block is singular: one by one, without it
             return [signals(one[None])[0] for one in block] if len(block) > 1 else [block[:0, 0]]
 
@@ -275,11 +277,11 @@ def _seed(video, window) -> int:
     return zlib.crc32(f"{video}|{int(window)}".encode())
 
 
-def motion_filter(tracks: DataFrame, fps: float) -> DataFrame:
+def motion_filter(tracks: DataFrame, fps: float, low: float = 0.65, high: float = 4.0) -> DataFrame:
     """(video_id, win_idx, axis, atten, energy) from windowed landmark tracks (video_id, win_idx, axis in y, x, z; track array).
 
     Band-passed tracks' densities; the first principal component over the landmarks (of z the density itself); attenuation
-    1 - P / max P, energy the mean of P less its negative minimum.
+    1 - P / max P, energy the mean of P less its negative minimum. low and high bound the band, which has to be the spectra's.
     """
 
     def component(power: np.ndarray, axis: str) -> tuple[np.ndarray, float]:
@@ -296,7 +298,7 @@ def motion_filter(tracks: DataFrame, fps: float) -> DataFrame:
             flat = pd.Series([t for group in pdf["tracks"] for t in group], dtype=object)
             powers: list = [None] * len(flat)
             for at, block in _by_length(flat):
-                for k, row in zip(at, dsp.welch(dsp.bandpass(block, fps), fps, overlap=0.6)[1], strict=True):
+                for k, row in zip(at, dsp.welch(dsp.bandpass(block, fps), fps, low, high, overlap=0.6)[1], strict=True):
                     powers[k] = row
             ends = np.cumsum([len(g) for g in pdf["tracks"]])
             got = [component(np.stack(powers[e - len(g) : e]), axis) for e, g, axis in zip(ends, pdf["tracks"], pdf["axis"], strict=True)]

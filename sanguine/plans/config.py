@@ -47,6 +47,11 @@ class JobSpec:
     skin_high: float = 230.0
     extra: dict = field(default_factory=dict)
 
+    @property
+    def thresholds(self) -> dict[str, float] | None:
+        """Motion thresholds by axis."""
+        return dict(zip("xyz", self.movement_thrs, strict=True)) if self.movement_thrs else None
+
 
 #: Keys of each section; a key outside is an error.
 KEYS = {
@@ -111,6 +116,8 @@ def parse(text: str) -> JobSpec:
         raise SpecError(f"estimate {estimate}: holistic, median or clustering")
     idx = d.get("videoIdx", s.get("videoIdx"))
     thrs = p.get("movement_thrs")
+    if thrs is not None and not (isinstance(thrs, (list, tuple)) and len(thrs) == 3 and all(isinstance(x, (int, float)) for x in thrs)):
+        raise SpecError(f"movement_thrs {thrs}: three numbers, for x, y and z")
     return JobSpec(
         dataset=str(d.get("dataset")), video_dir=str(d.get("videodataDIR") or ""), signal_dir=str(d.get("BVPdataDIR") or ""), videos=None if idx in (None, "all") else tuple(idx), window=float(s.get("winSize") or 8), stride=float(s.get("stride") or 1), approach=approach, methods=tuple(methods),
         min_hz=float(p.get("minHz") or 0.65), max_hz=float(p.get("maxHz") or 4.0), estimate=estimate, movement_thrs=tuple(thrs) if thrs else None,

@@ -51,12 +51,24 @@ def estimates(bvps: DataFrame, fps: float, estimate: str = "holistic", min_hz: f
     return pulse.median_rates(rates).select("video_id", "method", "win_idx", F.col("t_center").alias("t"), "bpm", "mad")
 
 
-def run(rgb: DataFrame, truth: DataFrame, fps: float, spec: JobSpec) -> DataFrame:
+def window_motion(tracks: DataFrame, fps: float, spec: JobSpec) -> DataFrame:
+    """(video_id, win_idx, axis, atten, energy) of landmark tracks, in the windows and the band of the specification."""
+    if spec.videos is not None:
+        tracks = tracks.filter(F.col("video_id").isin(*spec.videos))
+    wins = windows.window_arrays(tracks, fps, spec.window, spec.stride, ("video_id", "axis", "landmark"), ("value",))
+    moved = pulse.motion_filter(wins.select("video_id", "win_idx", "axis", F.col("value").alias("track")), fps, spec.min_hz, spec.max_hz)
+    return written(moved)
+
+
+def run(rgb: DataFrame, truth: DataFrame, fps: float, spec: JobSpec, tracks: DataFrame | None = None) -> DataFrame:
     """Videos x methods -> metrics, as result rows (method, dataset, video_id, RMSE, MAE, MAX, PCC, CCC, SNR).
 
     truth: (video_id, t, bpm). Windows are made once; each method adds a projection of them, and all methods' estimates
     meet the truth in one alignment and one aggregation. Signals and aligned rates are written to the shared folder, since
     rates, errors and SNR all read them.
+
+    tracks: (video_id, axis in x, y, z, landmark, frame_idx, value), the landmarks' places. With them and movement_thrs in the
+    specification, clustering attenuates the spectra of windows whose motion is over an axis's threshold.
     """
     if spec.videos is not None:
         rgb = rgb.filter(F.col("video_id").isin(*spec.videos))
@@ -67,7 +79,10 @@ def run(rgb: DataFrame, truth: DataFrame, fps: float, spec: JobSpec) -> DataFram
         own = signals(wins, fps, m, gate).select("video_id", "estimator_id", "output", "win_idx", "t_center", "method", "bvp")
         bvps = own if bvps is None else bvps.unionByName(own)
     bvps = written(bvps)
-    es = estimates(bvps, fps, spec.estimate, spec.min_hz, spec.max_hz)
+    motion = None
+    if spec.estimate == "clustering" and spec.movement_thrs and tracks is not None:
+        motion = window_motion(tracks, fps, spec)
+    es = estimates(bvps, fps, spec.estimate, spec.min_hz, spec.max_hz, motion, spec.thresholds)
     aligned = written(align.nearest(es, truth))
     errors = metrics.errors(aligned)
     at = aligned.select("video_id", "method", "win_idx", "bpm_gt")

@@ -76,6 +76,25 @@ def _hdf5(data: bytes):
         return 256.0, np.array(f["pulse"], float)
 
 
+def _last_frame_ms(data: bytes):
+    import xml.etree.ElementTree as ET
+
+    return 0, int(float(ET.fromstring(data)[-1].find("value1").text))
+
+
+def _frame_samples(data: bytes):
+    lines = [x for x in _lines(data) if x.strip()]
+    return tuple(int(x.split(",")[1]) for x in (lines[0], lines[-1]))
+
+
+#: name -> (file beside the signal, its parser to two numbers): what places the signal in the video's time.
+BESIDE: dict[str, tuple[str, Callable]] = {
+    "ecg_fitness": ("c920.csv", _frame_samples),
+    "lgi_ppgi": ("cv_camera_sensor_timer_stream_handler.xml", _last_frame_ms),
+    "sample": ("cv_camera_sensor_timer_stream_handler.xml", _last_frame_ms),
+}
+
+
 def _not_here(data: bytes):
     raise NotImplementedError("BDF recordings need a decoder that this package does not bring")
 
@@ -114,23 +133,52 @@ def files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select("path")
 
 
-def read_signals(spark: SparkSession, dataset: str, root: str) -> DataFrame:
-    """(path, fs, signal, error): an unreadable file keeps its row with an error, so that it is counted."""
-    _, pattern, _, parser = connector(dataset)
+def _parsed(spark: SparkSession, root: str, pattern: str, parser: Callable, schema: str) -> DataFrame:
+    """(path, the parser's two values, error) of each file; an unreadable one keeps its row with an error."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
         for pdf in batches:
             rows = []
             for path, data in zip(pdf["path"], pdf["content"], strict=True):
                 try:
-                    fs, x = parser(bytes(data))
-                    rows.append((path, float(fs), [float(v) for v in x], None))
+                    rows.append((path, *parser(bytes(data)), None))
                 except Exception as e:  # noqa: BLE001 - kept as a row
                     rows.append((path, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["path", "fs", "signal", "error"])
+            yield pd.DataFrame(rows, columns=names)
 
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select("path", "content")
-    return raw.mapInPandas(run, SCHEMA)
+    return raw.mapInPandas(run, schema)
+
+
+def read_signals(spark: SparkSession, dataset: str, root: str) -> DataFrame:
+    """(path, fs, signal, error): an unreadable file keeps its row with an error, so that it is counted.
+
+    Where a data set has a file beside the signal that places it in the video's time, the signal is cut by it: to the sample
+    numbers of the first and last frame, or by the lead that it has over the last frame. A signal without that file, or
+    with an unreadable one, is an error.
+    """
+    _, pattern, _, parser = connector(dataset)
+    raw = _parsed(spark, root, pattern, lambda data: (float((got := parser(data))[0]), [float(v) for v in got[1]]), SCHEMA)
+    if (key := dataset.lower().replace("-", "_")) not in BESIDE:
+        return raw
+    name, place = BESIDE[key]
+    places = _parsed(spark, root, name, place, "place string, first long, last long, wrong string")
+    places = places.select(_folder("place").alias("folder"), "first", "last", "wrong", F.lit(True).alias("there"))
+    rows = raw.withColumn("folder", _folder("path")).join(places, "folder", "left")
+    missing = F.when(F.col("there").isNull(), F.lit(f"no {name} beside it"))
+    rows = rows.withColumn("error", F.coalesce("error", "wrong", missing))
+    if key == "ecg_fitness":
+        cut = F.slice("signal", (F.col("first") + 1).cast("int"), F.greatest(F.col("last") - F.col("first") + 1, F.lit(0)).cast("int"))
+        rows = rows.withColumn("signal", F.when(F.col("error").isNull(), cut))
+    else:
+        end = F.floor(F.size("signal") * 1000 / F.col("fs"))  # ms
+        rows = without_lead(rows.withColumn("lead_s", F.when(F.col("error").isNull(), (end - F.col("last")) / 1000)))
+    return rows.select("path", "fs", "signal", "error")
+
+
+def _folder(path: str):
+    return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
 
 
 def without_lead(signals: DataFrame, seconds: str = "lead_s") -> DataFrame:
@@ -140,13 +188,6 @@ def without_lead(signals: DataFrame, seconds: str = "lead_s") -> DataFrame:
     return signals.withColumn("error", F.coalesce("error", bad)).withColumn("signal", F.when(F.col(seconds) >= 0, F.slice("signal", n + 1, F.greatest(F.size("signal") - n, F.lit(0)))))
 
 
-def between_samples(signals: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Signals cut to [first, last] of a sibling file's sample numbers; bounds: (folder, first, last)."""
-    folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
-    cut = F.slice("signal", F.col("first") + 1, F.col("last") - F.col("first") + 1)
-    return signals.withColumn("folder", folder).join(bounds, "folder").withColumn("signal", cut).drop("folder", "first", "last")
-
-
 def dataset(spark: SparkSession, name: str, video_root: str, signal_root: str) -> DataFrame:
     """(dataset, video_idx, video_path, sig_path, gt_kind): files of the same directory, numbered in the videos' natural order."""
     from pyspark.sql import Window

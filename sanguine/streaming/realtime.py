@@ -29,8 +29,9 @@ class Live:
 def rates(frames: DataFrame, live: Live = Live()) -> DataFrame:
     """(video_id, frame_idx, bpm) from a stream of (video_id, estimator_id, frame_idx, r, g, b), in order within a video.
 
-    State: the last window's frames of each video, so it is bounded by window x estimators. Windows are counted in frames
-    from the first one, as in the batch plan; the two give equal rates for equal input.
+    State: the last window's frames of each video, so it is bounded by window x estimators. Windows start at frames 0, stride,
+    2 x stride and so on, as in the batch plan; the two give equal rates for equal input. A stream that is joined late begins
+    with the first whole window. Frames of windows that were given out are left out when they come late.
     """
     width, step = int(live.fps * live.window), max(1, int(live.fps * live.stride))
     video = frames.schema["video_id"].dataType.simpleString()
@@ -51,7 +52,7 @@ def rates(frames: DataFrame, live: Live = Live()) -> DataFrame:
 
     def update(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(parts))[["frame_idx", "estimator_id", "r", "g", "b"]]
-        start = 0
+        start = -(-int(new["frame_idx"].min()) // step) * step
         if state.exists:
             *cols, start = state.get
             new = pd.concat([pd.DataFrame(dict(zip(["frame_idx", "estimator_id", "r", "g", "b"], cols, strict=True))), new])

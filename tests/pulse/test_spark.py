@@ -1,3 +1,4 @@
+import dataclasses
 import json
 import re
 
@@ -92,6 +93,8 @@ def test_sources(spark, tmp_path):
         "vicar_ppg/a/x.csv": "ms,trace\n" + "\n".join(f"{t},{k}" for k, t in enumerate(ms)),
         "vipl_hr_v1/a/wave.csv": "No,Wave\n1,9\n2,8\n",
         "lgi_ppgi/a/cms50_x.xml": "<r><p><value1>1</value1><value2>3</value2></p><p><value2>4</value2></p></r>",
+        "lgi_ppgi/a/cv_camera_sensor_timer_stream_handler.xml": "<r><p><value1>33.0</value1></p></r>",
+        "ecg_fitness/a/c920.csv": "1,0\n2,4\n",
         "ecg_fitness/a/viatom.csv": "t,ecg,hr\n" + "\n".join(f"{t},{k},0" for k, t in enumerate(ms)),
     }
     for name, text in files.items():
@@ -188,3 +191,50 @@ def test_natural_order_keeps_every_customer(spark):
     names = sorted(r.c_name for r in spark.read.parquet(f"{sf}/customer.parquet").collect())  # numbers of equal length
     got = {q: sorted((r.place, r.c_name) for r in QUERIES[q](spark, sf).collect()) for q in ("T04_natural_order", "T04_natural_order_all")}
     assert got == {"T04_natural_order": list(enumerate(names, 1)), "T04_natural_order_all": list(enumerate(names, 1))} and len(names) > 50
+
+
+def test_signals_are_cut_to_the_video(spark, tmp_path):
+    xml = "<r>" + "".join(f"<p><value2>{k}</value2></p>" for k in range(60)) + "</r>"
+    frames = lambda ms: f"<r><p><value1>0</value1></p><p><value1>{ms}</value1></p></r>"
+    files = {f"lgi/{k}/cms50_x.xml": xml for k in "abcd"}
+    files |= {f"lgi/{k}/cv_camera_sensor_timer_stream_handler.xml": x for k, x in (("a", frames(900.7)), ("b", frames(2000)), ("c", "<broken"))}
+    files["ecg/a/viatom.csv"] = "t,ecg,hr\n" + "\n".join(f"{40 * k},{k},0" for k in range(9))
+    files["ecg/a/c920.csv"] = "0,2\n1,4\n2,6\n"
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    got = {r.path.split("/")[-2]: r for r in signals.read_signals(spark, "LGI_PPGI", str(tmp_path / "lgi")).collect()}
+    assert got["a"].signal == [float(k) for k in range(6, 60)] and got["a"].error is None
+    assert all(got[k].signal is None and got[k].error for k in "bcd") and "no cv_camera" in got["d"].error
+    assert signals.read_signals(spark, "ecg_fitness", str(tmp_path / "ecg")).first().signal == [2.0, 3.0, 4.0, 5.0, 6.0]
+
+
+def test_registered_methods_reach_the_tasks(spark):
+    wins = windows.window_arrays(traces(spark, seconds=9.0), 30.0)
+    bvp.register("halves", lambda x, fps: np.stack([x[:, 0] / fps, x[:, 1] / fps], 1).reshape(-1, x.shape[2]), by_fps=True)
+    try:
+        got = pulse.to_bvp(wins, "cpu_halves", 30.0).collect()
+    finally:
+        del bvp.METHODS["HALVES"]
+    given = {(r.estimator_id, r.win_idx): (r.r, r.g) for r in wins.collect()}
+    assert len(got) == 2 * len(given) and {r.method for r in got} == {"HALVES"}
+    assert all(np.allclose(np.array(r.bvp) * 30, given[r.estimator_id, r.win_idx][r.output]) for r in got)
+
+
+def test_motion_reaches_the_clustering(spark):
+    rgb = traces(spark, 1.2, 12.0, 6)
+    rows = [("v", axis, j, k, float(np.sin(2 * np.pi * 1.2 * k / 30 + j))) for axis in "xyz" for j in range(4 if axis != "z" else 1) for k in range(360)]
+    tracks = spark.createDataFrame(rows, "video_id string, axis string, landmark int, frame_idx int, value double")
+    truth = spark.createDataFrame([("v", float(t), 72.0) for t in range(12)], "video_id string, t double, bpm double")
+    spec = dataclasses.replace(parse(SPEC), videos=None, window=8.0, stride=1.0, approach="holistic", estimate="clustering", movement_thrs=None)
+    spec = dataclasses.replace(spec, methods=tuple(m for m in spec.methods if m.name.upper().endswith("CHROM"))[:1] or spec.methods[:1])
+    got = [pipeline.run(rgb, truth, 30.0, dataclasses.replace(spec, movement_thrs=thrs), tracks).first().MAE for thrs in (None, (1e9,) * 3, (-1.0,) * 3)]
+    assert got[0] == got[1] < 3 < got[2]
+
+
+def test_stream_joined_late(spark, tmp_path):
+    frames = traces(spark, seconds=9.0).filter("frame_idx >= 70")
+    frames.coalesce(1).write.parquet(str(tmp_path / "in"))
+    q = realtime.rates(spark.readStream.schema(frames.schema).parquet(str(tmp_path / "in")), realtime.Live(filter_signal=False)).writeStream.format("memory").queryName("late").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+    assert q.awaitTermination(180)
+    assert [r.frame_idx for r in spark.table("late").orderBy("frame_idx").collect()] == [269]
