@@ -190,13 +190,12 @@ def without_lead(signals: DataFrame, seconds: str = "lead_s") -> DataFrame:
 
 def dataset(spark: SparkSession, name: str, video_root: str, signal_root: str) -> DataFrame:
     """(dataset, video_idx, video_path, sig_path, gt_kind): files of the same directory, numbered in the videos' natural order."""
-    from pyspark.sql import Window
-
     from ..operators.align import paired_files
 
     video, signal, kind, _ = connector(name)
     pairs = paired_files(files(spark, video_root, video), files(spark, signal_root, signal))
-    return pairs.select(F.lit(name).alias("dataset"), (F.row_number().over(Window.orderBy(*natural("video_path"))) - 1).alias("video_idx"), "video_path", "sig_path", F.lit(kind).alias("gt_kind"))
+    placed = natural_places(pairs, "video_path")
+    return placed.select(F.lit(name).alias("dataset"), (F.col("place") - 1).cast("int").alias("video_idx"), "video_path", "sig_path", F.lit(kind).alias("gt_kind"))
 
 
 def natural(path: str):
