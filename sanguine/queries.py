@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import signal_sql
 from .functions import arrays as A
+from .functions import dsp
 from .operators import align, extraction, filters, metrics, pulse, stats, windows
 from .plans import pipeline
 from .plans.config import MethodSpec, parse
@@ -536,21 +538,29 @@ def c01(spark, sf_dir):
     return emb(spark, sf_dir).select("estimator_id", (F.lit(600.0) * (A.arg_max(rounded) + 5) / 64).alias("bpm"))
 
 
-def _stages(name: str, f):
-    QUERIES[name] = lambda spark, sf_dir: f.over(wins(spark, sf_dir).select("video_id", "win_idx", "g"), {"x": "g"}).drop("g")
+def _samples(rows, column: str, digits: int, keys: tuple[str, ...] = ("video_id", "win_idx")):
+    """One row for each sample of an array column."""
+    return rows.select(*keys, F.posexplode(column).alias("win_pos", "x")).withColumn("x", F.round("x", digits) + 0.0)
 
 
-_stages("M02_bandpass", pulse.bandpass(FPS))
-_stages("M04_detrend", pulse.detrend())
-_stages("M06_sg_detrend", pulse.sg_detrend())
-_stages("M18_causal_bandpass", pulse.causal_bandpass(FPS, 0.8, 4.0))
-_stages("M19_absolute_detrend", pulse.detrend(100.0, True))
+def _stage(name: str, f, sql: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: _samples(f.over(wins(spark, sf_dir).select("video_id", "win_idx", "g"), {"x": "g"}), "x", 4)
+    ORACLES[name] = f"WITH {WIN}, {signal_sql.signal()}, {sql} " + signal_sql.rows("y", 4)
 
 
-@query("M01_filter_chain")
+# the designs of the Butterworth filters are held by their frequency responses in the tests; the SQL holds the filtering
+_BAND = dsp.butter_bandpass(0.65, 4.0, FPS, 6)
+_stage("M02_bandpass", pulse.bandpass(FPS), signal_sql.zero_phase("sg", "y", *_BAND))
+_stage("M04_detrend", pulse.detrend(), signal_sql.smoothness("sg", "y", (WIDTH / 10) ** 2))
+_stage("M06_sg_detrend", pulse.sg_detrend(), signal_sql.polynomial_rest("sg", "y"))
+_stage("M18_causal_bandpass", pulse.causal_bandpass(FPS, 0.8, 4.0), signal_sql.causal("sg", "y", *dsp.butter_bandpass(0.8, 4.0, FPS, 4)))
+_stage("M19_absolute_detrend", pulse.detrend(100.0, True), signal_sql.smoothness("sg", "y", 100.0**2))
+
+
+@query("M01_filter_chain", f"WITH {WIN}, {signal_sql.signal()}, {signal_sql.centred('sg', 'ct')}, {signal_sql.zero_phase('ct', 'y', *_BAND)} " + signal_sql.rows("y", 4))
 def m01(spark, sf_dir):
     rows = pulse.apply_filter(wins(spark, sf_dir), "zeromean", FPS)
-    return pulse.apply_filter(rows, "BPfilter", FPS, {"minHz": 0.65, "maxHz": 4.0, "fps": "adaptive", "order": 6}).select("video_id", "win_idx", "g")
+    return _samples(pulse.apply_filter(rows, "BPfilter", FPS, {"minHz": 0.65, "maxHz": 4.0, "fps": "adaptive", "order": 6}), "g", 4)
 
 
 def _welch_sql(x: str, nfft: int, first: int, last: int, more: str = "") -> str:
@@ -661,8 +671,28 @@ def b03_windows(spark, sf_dir):
     return pulse.pos_by_windows(rgb(spark, sf_dir), FPS, ("video_id",)).select("video_id", "frame_idx", (F.round("h", 4) + 0.0).alias("h"))
 
 
-for _name, _id, _component in (("POS", "B03_pos", "second_comp"), ("LGI", "B02_lgi", "second_comp"), ("PCA", "B05_pca", "all_comp"), ("ICA", "B08_B09_ica", "all_comp")):
-    QUERIES[_id] = lambda spark, sf_dir, m=_name, c=_component: pulse.to_bvp(wins(spark, sf_dir), m, FPS, c).select("video_id", "win_idx", "output", "bvp")
+def _method(name: str, component: str = "second_comp"):
+    return lambda spark, sf_dir: pulse.to_bvp(wins(spark, sf_dir), name, FPS, component)
+
+
+@query("B03_pos", f"WITH {WIN}, {signal_sql.pos()} SELECT video_id, win_idx, win_pos, round(x, 4) + 0.0 AS x FROM po")
+def b03(spark, sf_dir):
+    return _samples(_method("POS")(spark, sf_dir), "bvp", 4)
+
+
+@query("B02_lgi", f"WITH {WIN}, {signal_sql.lgi()} SELECT video_id, win_idx, win_pos, round(x, 4) + 0.0 AS x FROM lg")
+def b02(spark, sf_dir):
+    return _samples(_method("LGI")(spark, sf_dir), "bvp", 4)
+
+
+@query("B05_pca", f"WITH {WIN}, {signal_sql.pca()} SELECT video_id, win_idx, output, win_pos, round(x, 1) + 0.0 AS x FROM pc")
+def b05(spark, sf_dir):
+    return _samples(_method("PCA", "all_comp")(spark, sf_dir), "bvp", 1, ("video_id", "win_idx", "output"))
+
+
+@query("B08_B09_ica")
+def b08(spark, sf_dir):
+    return _method("ICA", "all_comp")(spark, sf_dir).select("video_id", "win_idx", "output", "bvp")
 
 
 @query("B10_ssr")
@@ -684,7 +714,7 @@ def c06(spark, sf_dir):
     return pulse.clustered_rates(pulse.psd(signals, FPS, overlap=0.6), pulse.band_freqs(FPS))
 
 
-@query("C02_median_rates")
+@query("C02_median_rates", _welch_sql("po", 2048, 134, 819, ", " + signal_sql.pos()) + "SELECT video_id, 'POS' AS method, win_idx, 4.0 + win_idx AS t, 600.0 * arg_max(k, p) / 2048 AS bpm, 0.0 AS mad FROM pw GROUP BY ALL")
 def c02(spark, sf_dir):
     return pipeline.estimates(pulse.to_bvp(wins(spark, sf_dir), "POS", FPS), FPS)
 
@@ -792,8 +822,6 @@ def f05(spark, sf_dir):
 def m14(spark, sf_dir):
     import numpy as np
 
-    from .functions import dsp
-
     def fit(power: np.ndarray) -> list:
         rows = [dsp.gauss_sigma(p / p.max(), np.arange(float(len(p))), float(p.argmax()), 1.0) for p in power**2]
         return [[r["sigma"], r["chi2"], r["aic"]] for r in rows]
