@@ -72,6 +72,19 @@ def combine(*terms: tuple[Column | float, Column]) -> Column:
     return out
 
 
+def energy(a: Column) -> Column:
+    """Mean less the minimum, where that is negative."""
+    return mean(a) - F.least(F.array_min(a), F.lit(0.0))
+
+
+def peak_snr(a: Column, centre: int, width: int) -> Column:
+    """Sum of the bins within two widths of the centre over that of the rest; 0 where there is hardly any rest."""
+    near = lambda k: k.between(centre - 2 * width, centre + 2 * width)
+    inside = total(F.transform(a, lambda x, k: F.when(near(k), x).otherwise(F.lit(0.0))))
+    outside = total(F.transform(a, lambda x, k: F.when(near(k), F.lit(0.0)).otherwise(x)))
+    return F.when(outside < 1e-7, F.lit(0.0)).otherwise(F.try_divide(inside, outside))
+
+
 def has_nan(a: Column) -> Column:
     return F.exists(a, lambda x: x.isNull() | F.isnan(x))
 

@@ -59,6 +59,12 @@ def snr(bvps: DataFrame, truth: DataFrame, fps: float, keys: tuple[str, ...] = (
     return rows.groupBy(*keys, "win_idx").agg(F.median("__snr").alias("__m")).groupBy(*keys).agg(F.avg("__m").alias("SNR"))
 
 
+def psnr(a: str, b: str) -> Column:
+    """10 log10 of 1 over the mean square difference, for values in [0, 1]; NULL for equal series."""
+    d = F.col(a) - F.col(b)
+    return 10 * F.log10(F.try_divide(F.lit(1.0), F.avg(d * d)))
+
+
 def summary(results: DataFrame, metrics: list[str], by: str = "method") -> DataFrame:
     """(by, metric, mean, sd, median) of each metric."""
     rows = results.select(by, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("x")).select(by, "x.*")

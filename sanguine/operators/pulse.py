@@ -232,6 +232,17 @@ def rates(spectra: DataFrame, freqs: np.ndarray) -> DataFrame:
     return spectra.withColumn("bpm", F.get(table, A.arg_max(F.col("power"))))
 
 
+def summed_spectra(spectra: DataFrame, column: str = "power", keys: tuple[str, ...] = ("win_idx",)) -> DataFrame:
+    """(keys, k, power): squares summed over the estimators by bin, over the largest of the window's bins."""
+    bins = spectra.select(*keys, F.posexplode(column).alias("k", "x")).groupBy(*keys, "k").agg(F.sum(F.col("x") * F.col("x")).alias("__p"))
+    return bins.select(*keys, "k", F.try_divide("__p", F.max("__p").over(Window.partitionBy(*keys))).alias("power"))
+
+
+def loudest(spectra: DataFrame, column: str = "power", keys: tuple[str, ...] = ("win_idx",)) -> DataFrame:
+    """(keys, estimator_id) of the largest value in each window; the smallest id of equals."""
+    return spectra.groupBy(*keys).agg(F.max_by("estimator_id", F.struct(F.array_max(column), -F.col("estimator_id"))).alias("estimator_id"))
+
+
 def median_rates(bpms: DataFrame, keys: tuple[str, ...] = ("video_id", "method", "win_idx", "t_center")) -> DataFrame:
     """(keys, bpm, mad): the estimators' median and unscaled median deviation."""
     rows = bpms.groupBy(*keys).agg(F.sort_array(F.collect_list("bpm")).alias("__all"))

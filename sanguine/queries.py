@@ -332,8 +332,7 @@ WITH v AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(emb
 s AS (SELECT label, k, sum(x * x) AS p FROM v GROUP BY ALL)
 SELECT label AS win_idx, CAST(k AS INTEGER) AS k, round(p / max(p) OVER (PARTITION BY label), 6) AS power FROM s""")
 def a15(spark, sf_dir):
-    rows = emb(spark, sf_dir).select("win_idx", F.posexplode("bvp").alias("k", "x")).groupBy("win_idx", "k").agg(F.sum(F.col("x") * F.col("x")).alias("p"))
-    return rows.select("win_idx", "k", r6(F.col("p") / F.max("p").over(Window.partitionBy("win_idx"))).alias("power"))
+    return pulse.summed_spectra(emb(spark, sf_dir), "bvp").withColumn("power", r6("power"))
 
 
 @query("A16_peak_snr", """
@@ -341,15 +340,13 @@ WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(em
 s AS (SELECT vec_id, sum(CASE WHEN k BETWEEN 20 AND 28 THEN x * x ELSE 0 END) AS a, sum(CASE WHEN k BETWEEN 20 AND 28 THEN 0 ELSE x * x END) AS b FROM v GROUP BY vec_id)
 SELECT vec_id AS estimator_id, round(CASE WHEN b < 1e-7 THEN 0 ELSE a / b END, 6) AS snr FROM s""")
 def a16(spark, sf_dir):
-    near = F.col("k").between(24 - 2 * 2, 24 + 2 * 2)
-    p = F.col("x") * F.col("x")
-    rows = emb(spark, sf_dir).select("estimator_id", F.posexplode("bvp").alias("k", "x")).groupBy("estimator_id").agg(F.sum(F.when(near, p).otherwise(0.0)).alias("a"), F.sum(F.when(near, 0.0).otherwise(p)).alias("b"))
-    return rows.select("estimator_id", r6(F.when(F.col("b") < 1e-7, 0.0).otherwise(F.col("a") / F.col("b"))).alias("snr"))
+    power = F.transform("bvp", lambda x: x * x)
+    return emb(spark, sf_dir).select("estimator_id", r6(A.peak_snr(power, 24, 2)).alias("snr"))
 
 
 @query("A17_motion_energy", "WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT vec_id AS estimator_id, round(avg(x) - least(min(x), 0), 6) AS energy FROM v GROUP BY vec_id")
 def a17(spark, sf_dir):
-    return emb(spark, sf_dir).select("estimator_id", r6(A.mean(F.col("bvp")) - F.least(F.array_min("bvp"), F.lit(0.0))).alias("energy"))
+    return emb(spark, sf_dir).select("estimator_id", r6(A.energy(F.col("bvp"))).alias("energy"))
 
 
 @query("A18_medians", f"WITH {RESULTS} SELECT dataset, method, round(median(value), 4) AS median, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 4) AS iqr FROM res GROUP BY ALL")
@@ -380,10 +377,8 @@ def a21(spark, sf_dir):
 
 @query("A22_frame_timing", "WITH g AS (SELECT user_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS gap, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS k FROM events) SELECT user_id AS video_id, round(avg(gap), 2) AS mean, CAST(median(gap) AS DOUBLE) AS median, max(gap) AS high, min(gap) AS low FROM g WHERE k <= 100 GROUP BY user_id")
 def a22(spark, sf_dir):
-    t = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = load(spark, sf_dir, "events").select("user_id", t.alias("t"))
-    rows = rows.withColumn("gap", F.col("t") - F.lag("t").over(Window.partitionBy("user_id").orderBy("t"))).withColumn("k", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("t"))))
-    return rows.filter("k <= 100").groupBy(F.col("user_id").alias("video_id")).agg(F.round(F.avg("gap"), 2).alias("mean"), F.median("gap").alias("median"), F.max("gap").alias("high"), F.min("gap").alias("low"))
+    rows = load(spark, sf_dir, "events").select(F.col("user_id").alias("video_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    return stats.frame_timing(rows).withColumn("mean", F.round("mean", 2))
 
 
 # --- windows ---
@@ -427,7 +422,7 @@ def t01(spark, sf_dir):
 
 @query("T02_global_maximum", "SELECT label AS win_idx, arg_max(vec_id, {'m': list_max(embedding), 'i': -vec_id}) AS estimator_id FROM embeddings GROUP BY label")
 def t02(spark, sf_dir):
-    return emb(spark, sf_dir).groupBy("win_idx").agg(F.max_by("estimator_id", F.struct(F.array_max("bvp"), -F.col("estimator_id"))).alias("estimator_id"))
+    return pulse.loudest(emb(spark, sf_dir), "bvp")
 
 
 _NATURAL = "SELECT c_name, row_number() OVER (ORDER BY CAST(regexp_extract(c_name, '(\\d+)\\D*$', 1) AS BIGINT), c_name) AS place FROM customer"
@@ -454,14 +449,14 @@ def t06(spark, sf_dir):
     return stats.chosen(results(spark, sf_dir), None, "MAE").select("method").distinct().orderBy("method")
 
 
-@query("R01_friedman", f"WITH {RANKS}, s AS (SELECT count(*) AS k, max(n) AS n, sum(avg_rank * avg_rank) AS r2 FROM ar) SELECT k, n, round(12.0 * n / (k * (k + 1)) * (r2 - k * (k + 1) * (k + 1) / 4.0), 6) AS chi2 FROM s")
+@query("R01_friedman", f"WITH {RANKS}, s AS (SELECT count(*) AS k, max(n) AS n, sum(avg_rank * avg_rank) AS r2 FROM ar) SELECT k, n, round(12.0 * n / (k * (k + 1)) * (r2 - k * (k + 1) * (k + 1) / 4.0), 6) AS chi2, round(CASE WHEN k = 5 THEN exp(-c / 2) * (1 + c / 2) END, 6) AS p FROM (SELECT *, 12.0 * n / (k * (k + 1)) * (r2 - k * (k + 1) * (k + 1) / 4.0) AS c FROM s)")
 def r01(spark, sf_dir):
-    return stats.friedman(stats.average_ranks(stats.chosen(results(spark, sf_dir), None, "MAE"), "MAE")).select("k", "n", r6("chi2").alias("chi2"))
+    return stats.friedman(stats.average_ranks(stats.chosen(results(spark, sf_dir), None, "MAE"), "MAE")).select("k", "n", r6("chi2").alias("chi2"), r6("p").alias("p"))
 
 
 @query("R02_R03_nemenyi", f"WITH {RANKS}, c AS (SELECT 2.728 * sqrt(count(*) * (count(*) + 1) / (6.0 * max(n))) AS cd FROM ar) SELECT a.method AS a, b.method AS b, round(abs(a.avg_rank - b.avg_rank), 6) AS gap, abs(a.avg_rank - b.avg_rank) > cd AS differ FROM ar a JOIN ar b ON a.method < b.method, c")
 def r02(spark, sf_dir):
-    return stats.nemenyi_pairs(stats.average_ranks(stats.chosen(results(spark, sf_dir), None, "MAE"), "MAE")).withColumn("gap", r6("gap"))
+    return stats.nemenyi_pairs(stats.average_ranks(stats.chosen(results(spark, sf_dir), None, "MAE"), "MAE")).select("a", "b", r6("gap").alias("gap"), "differ")
 
 
 @query("R05_box_plot", f"WITH {RESULTS} SELECT method, {', '.join(f'round(quantile_cont(value, {q}), 4) AS q{k}' for k, q in enumerate((0.0, 0.25, 0.5, 0.75, 1.0)))} FROM res GROUP BY method")
@@ -471,7 +466,7 @@ def r05(spark, sf_dir):
 
 @query("R06_details", f"WITH {RESULTS} SELECT dataset, video, method, round(avg(value), 4) AS value FROM res GROUP BY ALL")
 def r06(spark, sf_dir):
-    return results(spark, sf_dir).groupBy("dataset", F.col("videoIdx").alias("video"), F.regexp_replace("method", "^cpu_", "").alias("method")).agg(F.round(F.avg("MAE"), 4).alias("value"))
+    return stats.details(results(spark, sf_dir), "MAE").withColumn("value", F.round("value", 4))
 
 
 @query("U01_U02_united_methods", f"WITH {WIN}, k AS (SELECT DISTINCT video_id, win_idx FROM win) SELECT video_id, win_idx, method, 80 AS n FROM k, (VALUES ('GREEN'), ('OMIT')) v(method)")
@@ -484,8 +479,7 @@ def u01(spark, sf_dir):
 @query("U03_set_difference", "SELECT l_suppkey AS video_id, count(DISTINCT l_partkey) AS kept FROM lineitem WHERE (l_suppkey, l_partkey) NOT IN (SELECT l_suppkey, l_partkey FROM lineitem WHERE l_returnflag = 'R') GROUP BY l_suppkey")
 def u03(spark, sf_dir):
     rows = load(spark, sf_dir, "lineitem")
-    pair = ("l_suppkey", "l_partkey")
-    kept = rows.select(*pair).distinct().join(rows.filter("l_returnflag = 'R'").select(*pair).distinct(), list(pair), "left_anti")
+    kept = align.without(rows, rows.filter("l_returnflag = 'R'"), ("l_suppkey", "l_partkey"))
     return kept.groupBy(F.col("l_suppkey").alias("video_id")).agg(F.count("*").alias("kept"))
 
 
@@ -519,8 +513,7 @@ def m13(spark, sf_dir):
 
 @query("M20_psnr", "SELECT l_suppkey AS video_id, round(10 * log10(1 / avg((l_discount - l_tax) ** 2)), 6) AS psnr FROM lineitem GROUP BY l_suppkey")
 def m20(spark, sf_dir):
-    d = F.col("l_discount") - F.col("l_tax")
-    return load(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("video_id")).agg(r6(10 * F.log10(F.try_divide(F.lit(1.0), F.avg(d * d)))).alias("psnr"))
+    return load(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("video_id")).agg(r6(metrics.psnr("l_discount", "l_tax")).alias("psnr"))
 
 
 _DFT = "d AS (SELECT vec_id, k, sum(x * cos(2 * pi() * k * t / 64)) ** 2 + sum(x * sin(2 * pi() * k * t / 64)) ** 2 AS p FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS t FROM embeddings), (SELECT unnest(range(5, 26)) AS k) GROUP BY ALL)"
@@ -605,12 +598,14 @@ def _whole(spark, sf_dir):
     return rows.select("video_id", F.lit(FPS).alias("fs"), F.col("s.g").alias("signal"))
 
 
-@query("M10_M11_truth_track", f"""WITH {RGB},
-x AS (SELECT video_id, list(g ORDER BY frame_idx) AS x, count(*) AS n FROM rgb GROUP BY video_id),
-e AS (SELECT video_id, n, list_concat(list_reverse(x[2:26]), x, list_reverse(x[n - 25:n - 1]), [0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]) AS y FROM x),
-sg AS (SELECT video_id, j, list_transform(y[10 * j + 1:10 * j + 50], lambda v, i: v * (0.5 - 0.5 * cos(2 * pi() * (i - 1) / 50))) AS y FROM e, LATERAL (SELECT unnest(range(0, CAST(ceil(n / 10.0) AS BIGINT) + 1)) AS j) q),
-tr AS (SELECT k, list(cos(2 * pi() * k * t / 2048) ORDER BY t) AS c, list(sin(2 * pi() * k * t / 2048) ORDER BY t) AS s FROM (SELECT unnest(range(134, 820)) AS k), (SELECT unnest(range(0, 50)) AS t) GROUP BY k)
-SELECT video_id, CAST(j AS DOUBLE) AS t, 600.0 * arg_max(k, list_dot_product(y, c) ** 2 + list_dot_product(y, s) ** 2) / 2048 AS bpm FROM sg, tr GROUP BY video_id, j""")
+TRACK = """tx AS (SELECT video_id, list(g ORDER BY frame_idx) AS x, count(*) AS n FROM rgb GROUP BY video_id),
+te AS (SELECT video_id, n, list_concat(list_reverse(x[2:26]), x, list_reverse(x[n - 25:n - 1]), [0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]) AS y FROM tx),
+ts AS (SELECT video_id, j, list_transform(y[10 * j + 1:10 * j + 50], lambda v, i: v * (0.5 - 0.5 * cos(2 * pi() * (i - 1) / 50))) AS y FROM te, LATERAL (SELECT unnest(range(0, CAST(ceil(n / 10.0) AS BIGINT) + 1)) AS j) q),
+tt AS (SELECT k, list(cos(2 * pi() * k * t / 2048) ORDER BY t) AS c, list(sin(2 * pi() * k * t / 2048) ORDER BY t) AS s FROM (SELECT unnest(range(134, 820)) AS k), (SELECT unnest(range(0, 50)) AS t) GROUP BY k),
+gt AS (SELECT video_id, CAST(j AS DOUBLE) AS t, 600.0 * arg_max(k, list_dot_product(y, c) ** 2 + list_dot_product(y, s) ** 2) / 2048 AS bpm FROM ts, tt GROUP BY video_id, j)"""
+
+
+@query("M10_M11_truth_track", f"WITH {RGB}, {TRACK} SELECT video_id, t, bpm FROM gt")
 def m10(spark, sf_dir):
     return pulse.truth_rates(_whole(spark, sf_dir))
 
@@ -785,11 +780,29 @@ params = {'minHz': 0.65, 'maxHz': 4.0, 'fps': 'adaptive', 'order': 6}
 """
 
 
-@query("E2E_run_on_dataset")
+def _power_sql(nfft: int, first: int, last: int, name: str) -> str:
+    """Power of the prepared signals `hs` at bins of a padded transform: rows of `name` (video_id, method, win_idx, k, p)."""
+    return f"""{name}_t AS (SELECT k, list(cos(2 * pi() * k * t / {nfft}) ORDER BY t) AS c, list(sin(2 * pi() * k * t / {nfft}) ORDER BY t) AS s FROM (SELECT unnest(range({first}, {last + 1})) AS k), (SELECT unnest(range(0, 80)) AS t) GROUP BY k),
+{name} AS (SELECT video_id, method, win_idx, k, list_dot_product(y, c) ** 2 + list_dot_product(y, s) ** 2 AS p FROM hs, {name}_t)"""
+
+
+# every window's middle is a time of the truth's track, so the nearest true rate is the one of the same time
+RUN = f"""WITH {WIN}, {CHROM}, cl AS (SELECT video_id, win_idx, list(x ORDER BY win_pos) AS x FROM ch GROUP BY ALL), {signal_sql.zero_phase("cl", "cf", *_BAND)}, {signal_sql.pos()}, {signal_sql.lgi()},
+sig AS (SELECT video_id, 'CHROM' AS method, win_idx, x FROM cf UNION ALL SELECT video_id, 'POS', win_idx, list(x ORDER BY win_pos) FROM po GROUP BY ALL UNION ALL SELECT video_id, 'LGI', win_idx, list(x ORDER BY win_pos) FROM lg GROUP BY ALL),
+hs AS (SELECT video_id, method, win_idx, list_transform(x, lambda v, i: (v - list_avg(x)) * (0.5 - 0.5 * cos(2 * pi() * (i - 1) / 80))) AS y FROM sig),
+{_power_sql(2048, 134, 819, "pw")}, {_power_sql(1200, 79, 479, "pn")}, {TRACK},
+aligned AS (SELECT *, bpm_gt - bpm AS diff FROM (SELECT video_id, method, win_idx, 4.0 + win_idx AS t, 600.0 * arg_max(k, p) / 2048 AS bpm FROM pw GROUP BY ALL) e JOIN (SELECT video_id, t, bpm AS bpm_gt FROM gt) g USING (video_id, t)),
+nr AS (SELECT video_id, method, win_idx, p, abs(CAST(k / 120.0 AS FLOAT)::DOUBLE * 60 - bpm_gt) <= 12 OR abs(CAST(k / 120.0 AS FLOAT)::DOUBLE * 60 - 2 * bpm_gt) <= 12 AS near FROM pn JOIN aligned USING (video_id, method, win_idx)),
+sn AS (SELECT video_id, method, avg(v) AS v FROM (SELECT video_id, method, win_idx, 10 * log10(sum(p) FILTER (WHERE near) / sum(p) FILTER (WHERE NOT near)) AS v FROM nr GROUP BY ALL) GROUP BY ALL),
+er AS (SELECT video_id, method, {METRICS} FROM aligned GROUP BY ALL)
+SELECT video_id, method, RMSE, MAE, MAX, PCC, CCC, round(v, 5) + 0.0 AS SNR, 'suppliers' AS dataset FROM er JOIN sn USING (video_id, method)"""
+
+
+@query("E2E_run_on_dataset", RUN)
 def run_on_dataset(spark, sf_dir):
     traces = rgb(spark, sf_dir)
-    truth = pulse.truth_rates(_whole(spark, sf_dir))
-    return pipeline.run(traces, truth, FPS, parse(SPEC))
+    got = pipeline.run(traces, pulse.truth_rates(_whole(spark, sf_dir)), FPS, parse(SPEC))
+    return got.select("video_id", "method", *[r6(c).alias(c) for c in ("RMSE", "MAE", "MAX", "PCC", "CCC")], (F.round("SNR", 5) + 0.0).alias("SNR"), "dataset")
 
 
 @query("E2E_run_on_video", _welch_sql("ch", 2048, 134, 819).replace("FROM hs, tr", "FROM hs, tr WHERE video_id = 1") + "SELECT video_id, 'CHROM' AS method, win_idx, 4.0 + win_idx AS t, 600.0 * arg_max(k, p) / 2048 AS bpm, 0.0 AS mad FROM pw GROUP BY ALL")

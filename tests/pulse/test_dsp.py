@@ -131,3 +131,16 @@ def test_adjusted_sees_earlier_replacements():
     es = np.array([70.0, 71, 150, 72, 70, 71])
     assert circle.adjusted(es, es, np.where(es > 100, 73.0, 40.0), 3)[2] == 73
     assert circle.adjusted(es, np.zeros(6), np.zeros(6), 3)[2] == pytest.approx(np.median(es[:5]))
+
+
+def test_tails_of_chi_square_and_range():
+    import math
+
+    from sanguine.operators import stats
+
+    assert abs(stats.chi2_tail(3.841459, 1) - 0.05) < 1e-6
+    assert abs(stats.chi2_tail(7.814728, 3) - 0.05) < 1e-6
+    assert abs(stats.chi2_tail(9.487729, 4) - 0.05) < 1e-6
+    for k, q in enumerate(stats.Q_05, 2):
+        assert abs(stats.range_tail(q * math.sqrt(2), k) - 0.05) < 3e-4
+    assert abs(stats._critical(11) - 3.219) < 2e-3
