@@ -10,7 +10,7 @@ sample finds in several texts come last in the order, which changes the cost, no
 sizes, the shingle's places in both sets and a sketch of parities, all of which only rule out pairs that cannot be similar
 enough, and then the comparison of the whole sets.
 
-Large groups of near copies are linked in two steps: SimHash's links and each shared shingle's texts with one of them first,
+Large groups of near copies are linked in two steps: SimHash's links and each shared shingle's texts with a central one first,
 then the pairs that are still in different components, so that what is compared doesn't grow with the square of such a
 group.
 """
@@ -159,6 +159,20 @@ def _shared(sets: DataFrame) -> DataFrame:
     return rows.repartition(parallel(sets), "h").sortWithinPartitions("h").mapInArrow(run, schema)
 
 
+def _with_central(shared: DataFrame) -> DataFrame:
+    """shared with (b, nb, bt), up to two texts for each row: the central one of its shingle, and of the shingle's texts of like size.
+
+    Central is the text with the fewest shingles ahead of the shared one, which are rarer ones: a text that others are
+    copies of has none of its own. It is similar to copies that are not similar enough to each other.
+    """
+    sized = shared.withColumn("size", F.floor(F.log("n") / math.log(1.25)))
+    central = F.min(F.struct(F.col("at").alias("bt"), F.col("key").alias("b"), F.col("n").alias("nb"))).alias("f")
+    own = sized.groupBy("h", "size").agg(central)
+    of_all = own.groupBy("h").agg(F.min("f").alias("f"))
+    found = [sized.join(own, ["h", "size"]), sized.join(of_all, "h")]
+    return found[0].select(*shared.columns, "f.*").unionByName(found[1].select(*shared.columns, "f.*"))
+
+
 def _labelled(rows: DataFrame, edges: DataFrame) -> DataFrame:
     label = cut(components(edges))
     return rows.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
@@ -201,13 +215,12 @@ def similar_classes(rows: DataFrame, similarity: float = 0.8, width: int = 5, se
     small = cut(sets.select("key", "__uid", "fp", "n", "sketch"))
     shared = stored(_shared(sets))
 
-    first = shared.groupBy("h").agg(F.min(F.struct(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("at").alias("bt"))).alias("f")).select("h", "f.b", "f.nb", "f.bt")
     near = _near(F.col("n"), F.col("nb"), F.col("at"), F.col("bt"), similarity)
 
     def ordered(df: DataFrame) -> DataFrame:
         return df.select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b"))
 
-    pairs = ordered(_simhash_pairs(small.select("key", "fp"), budget)).unionByName(ordered(shared.join(first, "h").filter((F.col("key") != F.col("b")) & near)))
+    pairs = ordered(_simhash_pairs(small.select("key", "fp"), budget)).unionByName(ordered(_with_central(shared).filter((F.col("key") != F.col("b")) & near)))
     edges = _verified(pairs, rows, small, similarity, width, seed)
     # of a shingle's texts, those in its largest component need to meet the others only
     apart = stored(_labelled(shared, edges))
