@@ -469,11 +469,14 @@ def r06(spark, sf_dir):
     return stats.details(results(spark, sf_dir), "MAE").withColumn("value", F.round("value", 4))
 
 
-@query("U01_U02_united_methods", f"WITH {WIN}, k AS (SELECT DISTINCT video_id, win_idx FROM win) SELECT video_id, win_idx, method, 80 AS n FROM k, (VALUES ('GREEN'), ('OMIT')) v(method)")
+OMIT = "f0 AS (SELECT video_id, win_idx, r AS r0, g AS g0, b AS b0 FROM win WHERE win_pos = 0), om AS (SELECT win.*, g - g0 / nullif(r0 * r0 + g0 * g0 + b0 * b0, 0) * (r0 * r + g0 * g + b0 * b) AS x FROM win JOIN f0 USING (video_id, win_idx))"
+
+
+@query("U01_U02_united_methods", f"WITH {WIN}, {OMIT} SELECT video_id, win_idx, 'GREEN' AS method, win_pos, round(g, 5) + 0.0 AS x FROM win UNION ALL SELECT video_id, win_idx, 'OMIT', win_pos, round(x, 5) + 0.0 FROM om")
 def u01(spark, sf_dir):
     w = wins(spark, sf_dir)
     both = pulse.united(pulse.to_bvp(w, "GREEN", FPS), pulse.to_bvp(w, "cpu_OMIT", FPS))
-    return both.select("video_id", "win_idx", "method", F.size("bvp").alias("n"))
+    return _samples(both, "bvp", 5, ("video_id", "win_idx", "method"))
 
 
 @query("U03_set_difference", "SELECT l_suppkey AS video_id, count(DISTINCT l_partkey) AS kept FROM lineitem WHERE (l_suppkey, l_partkey) NOT IN (SELECT l_suppkey, l_partkey FROM lineitem WHERE l_returnflag = 'R') GROUP BY l_suppkey")
@@ -625,26 +628,19 @@ def m16(spark, sf_dir):
 # --- methods ---
 
 
-def _summary(bvps):
-    return bvps.select("video_id", "win_idx", r6(A.mean(F.col("bvp"))).alias("mean"), r6(A.std(F.col("bvp"))).alias("sd"), r6(F.get("bvp", F.lit(0))).alias("first"), r6(F.element_at("bvp", -1)).alias("last"))
-
-
-_SUM = "round(avg(x), 6) + 0.0 AS mean, round(stddev_pop(x), 6) + 0.0 AS sd, round(first(x ORDER BY win_pos), 6) + 0.0 AS first, round(last(x ORDER BY win_pos), 6) + 0.0 AS last"
-
-
 @query("B01_chrom", f"WITH {WIN}, {CHROM} SELECT video_id, win_idx, win_pos, round(x, 6) + 0.0 AS x FROM ch")
 def b01(spark, sf_dir):
     return pulse.to_bvp(wins(spark, sf_dir), "CHROM", FPS).select("video_id", "win_idx", F.posexplode("bvp").alias("win_pos", "x")).withColumn("x", r6("x"))
 
 
-@query("B06_green", f"WITH {WIN}, x AS (SELECT *, g AS x FROM win) SELECT video_id, win_idx, {_SUM} FROM x GROUP BY ALL")
+@query("B06_green", f"WITH {WIN}, x AS (SELECT *, g AS x FROM win) SELECT video_id, win_idx, win_pos, round(x, 5) + 0.0 AS x FROM x")
 def b06(spark, sf_dir):
-    return _summary(pulse.to_bvp(wins(spark, sf_dir), "GREEN", FPS))
+    return _samples(pulse.to_bvp(wins(spark, sf_dir), "GREEN", FPS), "bvp", 5)
 
 
-@query("B07_omit", f"WITH {WIN}, f AS (SELECT video_id, win_idx, r AS r0, g AS g0, b AS b0 FROM win WHERE win_pos = 0), x AS (SELECT win.*, g - g0 / nullif(r0 * r0 + g0 * g0 + b0 * b0, 0) * (r0 * r + g0 * g + b0 * b) AS x FROM win JOIN f USING (video_id, win_idx)) SELECT video_id, win_idx, {_SUM} FROM x GROUP BY ALL")
+@query("B07_omit", f"WITH {WIN}, {OMIT} SELECT video_id, win_idx, win_pos, round(x, 5) + 0.0 AS x FROM om")
 def b07(spark, sf_dir):
-    return _summary(pulse.to_bvp(wins(spark, sf_dir), "OMIT", FPS))
+    return _samples(pulse.to_bvp(wins(spark, sf_dir), "OMIT", FPS), "bvp", 5)
 
 
 @query("B04_pbv", f"""WITH {WIN}, c AS (SELECT video_id, win_idx, win_pos, r / avg(r) OVER w AS r, g / avg(g) OVER w AS g, b / avg(b) OVER w AS b FROM win WINDOW w AS (PARTITION BY video_id, win_idx)),
@@ -652,9 +648,9 @@ m AS (SELECT video_id, win_idx, sum(r*r) AS rr, sum(r*g) AS rg, sum(r*b) AS rb,
 p AS (SELECT *, sr / sqrt(sr*sr + sg*sg + sb*sb) AS p1, sg / sqrt(sr*sr + sg*sg + sb*sb) AS p2, sb / sqrt(sr*sr + sg*sg + sb*sb) AS p3, rr*(gg*bb - gb*gb) - rg*(rg*bb - gb*rb) + rb*(rg*gb - gg*rb) AS d FROM m),
 k AS (SELECT *, (p1*(gg*bb - gb*gb) - rg*(p2*bb - gb*p3) + rb*(p2*gb - gg*p3)) / d AS w1, (rr*(p2*bb - gb*p3) - p1*(rg*bb - gb*rb) + rb*(rg*p3 - p2*rb)) / d AS w2, (rr*(gg*p3 - p2*gb) - rg*(rg*p3 - p2*rb) + p1*(rg*gb - gg*rb)) / d AS w3 FROM p WHERE d <> 0),
 x AS (SELECT c.video_id, c.win_idx, win_pos, (w1*r + w2*g + w3*b) / (p1*w1 + p2*w2 + p3*w3) AS x FROM c JOIN k USING (video_id, win_idx))
-SELECT video_id, win_idx, {_SUM} FROM x GROUP BY ALL""")
+SELECT video_id, win_idx, win_pos, round(x, 5) + 0.0 AS x FROM x""")
 def b04(spark, sf_dir):
-    return _summary(pulse.to_bvp(wins(spark, sf_dir), "PBV", FPS))
+    return _samples(pulse.to_bvp(wins(spark, sf_dir), "PBV", FPS), "bvp", 5)
 
 
 @query("B03_pos_windows", f"""WITH {RGB}, a AS (SELECT video_id, frame_idx, r, g, b, avg(r) OVER p AS mr, avg(g) OVER p AS mg, avg(b) OVER p AS mb, avg(r*r) OVER p AS rr, avg(r*g) OVER p AS rg, avg(r*b) OVER p AS rb, avg(g*g) OVER p AS gg, avg(g*b) OVER p AS gb, avg(b*b) OVER p AS bb FROM rgb WINDOW p AS (PARTITION BY video_id ORDER BY frame_idx ROWS BETWEEN 15 PRECEDING AND CURRENT ROW)),
