@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import signal_sql
+from . import signal_sql, stat_sql
 from .functions import arrays as A
 from .functions import dsp
-from .operators import align, extraction, filters, metrics, pulse, stats, windows
+from .operators import align, bayes, extraction, filters, hypothesis, metrics, pulse, stats, windows
 from .plans import pipeline
 from .plans.config import MethodSpec, parse
 from .streaming import realtime
@@ -459,6 +459,44 @@ def r02(spark, sf_dir):
     return stats.nemenyi_pairs(stats.average_ranks(stats.chosen(results(spark, sf_dir), None, "MAE"), "MAE")).select("a", "b", r6("gap").alias("gap"), "differ")
 
 
+# result sets by order priority and metric, cells by nation and segment; the second metric's long tail calls for ranks
+SETS = stat_sql.cells({"MAE": "o_totalprice", "MAX": "exp(o_totalprice / 20000)"}, "o_orderpriority")
+TESTED = f"WITH {SETS}, {stat_sql.NORMAL}, {stat_sql.LEVENE}, {stat_sql.CHOICE}, {stat_sql.ERROR}"
+
+
+def result_sets(spark, sf_dir) -> DataFrame:
+    rows = results(spark, sf_dir).drop("PCC").withColumn("MAX", F.exp(F.col("MAE") / 20000))
+    priority = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("videoIdx"), "o_orderpriority")
+    return hypothesis.cells(rows.join(priority, "videoIdx"), ("MAE", "MAX"), by=("o_orderpriority",))
+
+
+@query("R01_normality", f"WITH {SETS}, {stat_sql.NORMAL} SELECT set, method, n, round(w, 6) AS w, round(p, 6) AS p FROM sp")
+def r01_normality(spark, sf_dir):
+    return hypothesis.normality(result_sets(spark, sf_dir)).select("set", "method", "n", r6("w").alias("w"), r6("p").alias("p"))
+
+
+@query("R01_equal_variances", f"WITH {SETS}, {stat_sql.LEVENE} SELECT set, k, n * k AS cells, round(f, 6) AS f, round(p, 6) AS p FROM lp")
+def r01_variances(spark, sf_dir):
+    return hypothesis.equal_variances(result_sets(spark, sf_dir)).select("set", "k", "cells", r6("f").alias("f"), r6("p").alias("p"))
+
+
+@query("R01_omnibus", f"{TESTED}, {stat_sql.OMNIBUS}")
+def r01_omnibus(spark, sf_dir):
+    return hypothesis.omnibus(pipeline.written(result_sets(spark, sf_dir))).withColumns({c: r6(c) for c in ("statistic", "p")})
+
+
+@query("R01_pairs", f"{TESTED}, {stat_sql.PAIRS}")
+def r01_pairs(spark, sf_dir):
+    out = hypothesis.pairs(pipeline.written(result_sets(spark, sf_dir)))
+    return out.withColumns({"gap": r6("gap"), "q": r6("q"), "p": F.round("p", 5) + 0.0})
+
+
+@query("R04_bayesian_signed_rank", f"WITH {SETS}, {stat_sql.posterior(2000, '0.1')}")
+def r04(spark, sf_dir):
+    out = bayes.signed_rank(result_sets(spark, sf_dir), draws=2000)
+    return out.withColumns({"rope": F.round("rope", 2)} | {c: r6(c) for c in ("p_smaller", "p_equal", "p_larger")})
+
+
 @query("R05_box_plot", f"WITH {RESULTS} SELECT method, {', '.join(f'round(quantile_cont(value, {q}), 4) AS q{k}' for k, q in enumerate((0.0, 0.25, 0.5, 0.75, 1.0)))} FROM res GROUP BY method")
 def r05(spark, sf_dir):
     return stats.box_plot(stats.chosen(results(spark, sf_dir), None, "MAE")).select("method", *[F.round(f"q{k}", 4).alias(f"q{k}") for k in range(5)])
