@@ -58,6 +58,24 @@ def bandpass(x: np.ndarray, fps: float, low: float = 0.65, high: float = 4.0, or
     return filtfilt(*butter_bandpass(low, high, fps, order), x)
 
 
+def notch(centre: np.ndarray, q: float, fs: float) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients (rows, 3) of second-order notch filters at the centres (Hz), each -3 dB wide by centre / q."""
+    w = 2 * np.pi * np.asarray(centre, float)[:, None] / fs
+    gain = 1 / (1 + np.tan(w / (2 * q)))
+    b = gain * np.concatenate((np.ones_like(w), -2 * np.cos(w), np.ones_like(w)), 1)
+    return b, np.concatenate((np.ones_like(w), -2 * gain * np.cos(w), 2 * gain - 1), 1)
+
+
+def lfilter_rows(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Causal second-order filters, each row with its own coefficients (rows, 3)."""
+    first, second, y = np.zeros(len(x)), np.zeros(len(x)), np.empty_like(x, float)
+    for t in range(x.shape[1]):
+        y[:, t] = b[:, 0] * x[:, t] + first
+        first = second + b[:, 1] * x[:, t] - a[:, 1] * y[:, t]
+        second = b[:, 2] * x[:, t] - a[:, 2] * y[:, t]
+    return y
+
+
 @lru_cache(32)
 def _trend(n: int, smoothing: float) -> np.ndarray:
     d = np.zeros((max(0, n - 2), n))

@@ -117,6 +117,7 @@ def per_row(function):
         return pd.Series([None if any(pd.isna(v) for v in row) else function(*map(float, row)) for row in zip(*columns, strict=True)], dtype=float)
 
     def of(*columns):
-        return F.pandas_udf({1: lambda a: run(a), 2: lambda a, b: run(a, b), 3: lambda a, b, c: run(a, b, c)}[len(columns)], "double")(*columns)
+        value = F.pandas_udf({1: lambda a: run(a), 2: lambda a, b: run(a, b), 3: lambda a, b, c: run(a, b, c)}[len(columns)], "double")(*columns)
+        return F.nanvl(value, F.lit(None).cast("double"))  # pandas has no NULL among its numbers
 
     return of

@@ -38,11 +38,11 @@ def normality(rows: DataFrame) -> DataFrame:
     own = Window.partitionBy("set", "method")
     placed = rows.select("set", "method", "value", F.row_number().over(own.orderBy("value")).alias("r"), F.count("*").over(own).alias("n"))
     scored = placed.withColumn("m", normal_quantile((F.col("r") - 0.375) / (F.col("n") + 0.25)))
-    w = F.when((F.max("n") > 4) & (F.max("value") > F.min("value")), F.pow(F.corr("value", "m"), 2))
+    w = F.when((F.max("n") > 4) & (F.max("value") > F.min("value")), F.try_divide(F.pow(F.covar_pop("value", "m"), 2), F.var_pop("value") * F.var_pop("m")))
     out = scored.groupBy("set", "method").agg(F.max("n").alias("n"), w.alias("w"))
     u = F.ln(F.ln("n")) - F.ln("n")
-    v = F.ln(F.ln("n")) + 2 / F.ln("n")
-    z = (F.ln(1 - F.least(F.col("w"), F.lit(1 - 1e-15))) - (-1.2725 + 1.0521 * u)) / (1.0308 - 0.26758 * v)
+    v = F.ln(F.ln("n")) + F.try_divide(F.lit(2.0), F.ln("n"))
+    z = F.try_divide(F.ln(F.when(F.col("w").isNotNull(), F.greatest(1 - F.col("w"), F.lit(1e-15)))) - (-1.2725 + 1.0521 * u), 1.0308 - 0.26758 * v)
     return out.withColumn("p", per_row(lambda x: 0.5 * math.erfc(x / math.sqrt(2)))(z))
 
 
@@ -82,7 +82,7 @@ def _repeated(rows: DataFrame) -> DataFrame:
     out = total.join(part("block"), "set").join(part("method"), "set")
     rest = F.greatest(F.col("total") - F.col("by_block") - F.col("by_method"), F.lit(0.0))
     mse = F.try_divide(rest, (F.col("k") - 1) * (F.col("n") - 1))
-    return out.select("set", "k", "n", F.try_divide(F.col("by_method") / (F.col("k") - 1), mse).alias("f"), mse.alias("mse"))
+    return out.select("set", "k", "n", F.try_divide(F.try_divide(F.col("by_method"), F.col("k") - 1), mse).alias("f"), mse.alias("mse"))
 
 
 def _ranks(rows: DataFrame) -> DataFrame:
@@ -98,7 +98,7 @@ def _friedman(rows: DataFrame) -> DataFrame:
     means = ranked.groupBy("set", "k", "n", "method").agg(F.avg("rank").alias("rank"))
     k, n = F.col("k"), F.col("n")
     spread = means.groupBy("set", "k", "n").agg(F.sum(F.pow(F.col("rank") - (k + 1) / 2, 2)).alias("s")).join(ties, "set")
-    return spread.select("set", "k", "n", F.try_divide(12 * n / (k * (k + 1)) * F.col("s"), 1 - F.col("ties") / (n * k * (k * k - 1))).alias("chi2"))
+    return spread.select("set", "k", "n", F.try_divide(12 * n / (k * (k + 1)) * F.col("s"), 1 - F.try_divide(F.col("ties"), n * k * (k * k - 1))).alias("chi2"))
 
 
 def _pairs_of_two(rows: DataFrame) -> DataFrame:

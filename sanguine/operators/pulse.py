@@ -62,6 +62,38 @@ def detrend(det_lambda: float = 10.0, absolute: bool = False):
     return ArrayFunction(lambda x: dsp.detrend(x, det_lambda, absolute))
 
 
+def notched(rows: DataFrame, fps: float, column: str = "bvp", centre: str = "centre", q: float = 10.0) -> DataFrame:
+    """rows with the signal through a causal notch at its own centre (Hz, a column), all rows of a length at once. A centre that is NULL, or not between 0 and fps / 2, leaves the signal as it is."""
+
+    def run(batches):
+        for pdf in batches:
+            out = pdf[column].tolist()
+            hz = pdf[centre].to_numpy(float)
+            for at, x in _by_length(pdf[column]):
+                with np.errstate(invalid="ignore"):
+                    use = (hz[at] > 0) & (hz[at] < fps / 2)
+                if use.any():
+                    for k, y in zip(at[use], dsp.lfilter_rows(*dsp.notch(hz[at][use], q, fps), x[use]), strict=True):
+                        out[k] = y
+            yield pdf.assign(**{column: pd.Series(out, dtype=object, index=pdf.index)})
+
+    return rows.mapInPandas(run, rows.withColumn(column, F.col(column).cast("array<double>")).schema)
+
+
+def notch_response(centre: Column, freqs: list[float], fps: float, q: float = 10.0) -> Column:
+    """Gains of a notch at `centre` (Hz) at the frequencies (Hz); 0 at the centre, near 1 away from it."""
+    w0 = centre * (2 * np.pi / fps)
+    p = F.struct(F.cos(w0).alias("c"), (1 / (1 + F.tan(w0 / (2 * q)))).alias("g"))
+
+    def gain(p: Column, w: Column) -> Column:
+        # numerator and denominator turned by one sample, so that both are sums of cosines and one sine
+        re, im = 2 * p["g"] * F.cos(w) - 2 * p["g"] * p["c"], (2 - 2 * p["g"]) * F.sin(w)
+        return F.abs(2 * p["g"] * (F.cos(w) - p["c"])) / F.sqrt(re * re + im * im)
+
+    table = A.constants([2 * np.pi * float(f) / fps for f in freqs])
+    return let(p, lambda p: F.transform(table, lambda w: gain(p, w)))
+
+
 def sg_detrend(window: int = 31, degree: int = 5):
     return ArrayFunction(lambda x: x - dsp.savgol(x, window, degree))
 
@@ -288,14 +320,19 @@ def _seed(video, window) -> int:
     return zlib.crc32(f"{video}|{int(window)}".encode())
 
 
-def motion_filter(tracks: DataFrame, fps: float, low: float = 0.65, high: float = 4.0) -> DataFrame:
+def motion_filter(tracks: DataFrame, fps: float, low: float = 0.65, high: float = 4.0, notch_q: float | None = None) -> DataFrame:
     """(video_id, win_idx, axis, atten, energy) from windowed landmark tracks (video_id, win_idx, axis in y, x, z; track array).
 
     Band-passed tracks' densities; the first principal component over the landmarks (of z the density itself); attenuation
     1 - P / max P, energy the mean of P less its negative minimum. low and high bound the band, which has to be the spectra's.
+    With notch_q the attenuation is that of a notch of this quality at the strongest bin of P, and z is centred like the others.
     """
+    hz = band_freqs(fps, low, high) / 60
 
     def component(power: np.ndarray, axis: str) -> tuple[np.ndarray, float]:
+        if notch_q and len(power) == 1:
+            p = power[0] - power[0].mean()
+            return p, float((p - min(p.min(), 0.0)).mean())
         if axis == "z" or len(power) == 1:
             p = power.mean(0)
             return p, float(p.mean())
@@ -313,12 +350,16 @@ def motion_filter(tracks: DataFrame, fps: float, low: float = 0.65, high: float
                     powers[k] = row
             ends = np.cumsum([len(g) for g in pdf["tracks"]])
             got = [component(np.stack(powers[e - len(g) : e]), axis) for e, g, axis in zip(ends, pdf["tracks"], pdf["axis"], strict=True)]
-            atten = [list(1 - p / p.max()) if p.max() else [1.0] * len(p) for p, _ in got]
-            yield pdf[["video_id", "win_idx", "axis"]].assign(atten=atten, energy=[e for _, e in got])
+            atten = [list(1 - p / p.max()) if p.max() else [1.0] * len(p) for p, _ in got] if notch_q is None else [None] * len(got)
+            peaks = [float(hz[p.argmax()]) for p, _ in got]
+            yield pdf[["video_id", "win_idx", "axis"]].assign(atten=atten, energy=[e for _, e in got], centre=peaks)
 
     video = tracks.schema["video_id"].dataType.simpleString()
     groups = tracks.groupBy("video_id", "win_idx", "axis").agg(F.sort_array(F.collect_list("track")).alias("tracks"))
-    return groups.mapInPandas(run, f"video_id {video}, win_idx int, axis string, atten array<double>, energy double")
+    out = groups.mapInPandas(run, f"video_id {video}, win_idx int, axis string, atten array<double>, energy double, centre double")
+    if notch_q is not None:
+        out = out.withColumn("atten", notch_response(F.col("centre"), hz.tolist(), fps, notch_q))
+    return out.drop("centre")
 
 
 def truth_rates(signals: DataFrame, window: float = 5.0, kind: str = "BVP") -> DataFrame:

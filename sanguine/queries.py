@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from . import signal_sql, stat_sql
 from .functions import arrays as A
 from .functions import dsp
-from .operators import align, bayes, extraction, filters, hypothesis, metrics, pulse, stats, windows
+from .operators import align, bayes, extraction, filters, hypothesis, metrics, pulse, stats, tensors, windows
 from .plans import pipeline
 from .plans.config import MethodSpec, parse
 from .streaming import realtime
@@ -737,6 +737,105 @@ def b10_c(spark, sf_dir):
     return rows.select("video_id", "frame_idx", *[F.round(F.get(c, F.lit(k)), 4).alias(n) for k, n in ((0, "rr"), (1, "rg"), (5, "gb"))])
 
 
+# a notch at another frequency for each window, through its difference equation
+NOTCH = f"""nw AS (SELECT *, cos(w) AS c, 1 / (1 + tan(w / 20)) AS g FROM (SELECT video_id, win_idx, list(g ORDER BY win_pos) AS v, 2 * pi() * (0.7 + (win_idx % 20) * 0.15) / 10 AS w FROM win GROUP BY ALL)),
+ny AS (SELECT video_id, win_idx, list_reduce(list_prepend([0.0::DOUBLE, 0.0::DOUBLE], list_transform(range(1, 81), lambda t: [g * (v[t] - 2 * c * coalesce(v[t - 1], 0) + CASE WHEN t > 2 THEN v[t - 2] ELSE 0 END)])),
+  lambda s, e: list_append(s, e[1] + 2 * g * c * s[len(s)] - (2 * g - 1) * s[len(s) - 1])) AS y FROM nw)"""
+
+
+@query("M15_notch", f"WITH {WIN}, {NOTCH} SELECT video_id, win_idx, CAST(t - 1 AS INTEGER) AS win_pos, round(y[t + 2], 6) + 0.0 AS y FROM ny, (SELECT unnest(range(1, 81)) AS t)")
+def m15(spark, sf_dir):
+    rows = wins(spark, sf_dir).select("video_id", "win_idx", F.col("g").alias("bvp"), (0.7 + (F.col("win_idx") % 20) * 0.15).alias("centre"))
+    out = pulse.notched(rows, FPS)
+    return out.select("video_id", "win_idx", F.posexplode("bvp").alias("win_pos", "y")).withColumn("y", r6("y"))
+
+
+@query("M15_notch_response", """
+WITH w AS (SELECT DISTINCT o_custkey AS id, 0.7 + (o_custkey % 60) * 0.05 AS hz FROM orders), f AS (SELECT unnest(range(14, 82)) AS k)
+SELECT id, CAST(k - 14 AS INTEGER) AS k, round(sqrt((pow(1 - 2 * c0 * cos(a) + cos(2 * a), 2) + pow(2 * c0 * sin(a) - sin(2 * a), 2)) * g * g
+  / (pow(1 - 2 * g * c0 * cos(a) + (2 * g - 1) * cos(2 * a), 2) + pow(2 * g * c0 * sin(a) - (2 * g - 1) * sin(2 * a), 2))), 6) AS gain
+FROM (SELECT id, k, cos(2 * pi() * hz / 10) AS c0, 1 / (1 + tan(2 * pi() * hz / 200)) AS g, 2 * pi() * k * 0.05 / 10 AS a FROM w, f)""")
+def m15_response(spark, sf_dir):
+    rows = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")).distinct()
+    gains = pulse.notch_response(0.7 + (F.col("id") % 60) * 0.05, [k * 0.05 for k in range(14, 82)], FPS)
+    return rows.select("id", F.posexplode(gains).alias("k", "gain")).withColumn("gain", r6("gain"))
+
+
+# --- tensors: frames of 8 x 8 cells made of each supplier's pixels ---
+
+TENSOR = f"""{PIX}, pf AS (SELECT DISTINCT video_id, frame_idx FROM px),
+ov AS (SELECT p, k, greatest(least((p + 1) / 8.0, k + 1.0) - greatest(p / 8.0, k), 0) AS w FROM (SELECT unnest(range(0, 64)) AS p), (SELECT unnest(range(0, 8)) AS k)),
+ce AS (SELECT video_id, frame_idx, a.k * 8 + b.k AS k, sum(a.w * b.w * r / 255) AS r, sum(a.w * b.w * g / 255) AS g, sum(a.w * b.w * b_ / 255) AS b FROM (SELECT *, b AS b_ FROM px) px JOIN ov a ON a.p = y AND a.w > 0 JOIN ov b ON b.p = x AND b.w > 0 GROUP BY ALL),
+tn AS (SELECT video_id, frame_idx, CAST(k * 3 + c AS INTEGER) AS k, least(greatest(coalesce(CASE c WHEN 0 THEN r WHEN 1 THEN g ELSE b END, 0), 1 / 255.0::DOUBLE), 1.0) AS x
+  FROM pf CROSS JOIN (SELECT unnest(range(0, 64)) AS k) LEFT JOIN ce USING (video_id, frame_idx, k) CROSS JOIN (SELECT unnest(range(0, 3)) AS c))"""
+
+
+def frame_tensors(spark, sf_dir) -> DataFrame:
+    px = pixels(spark, sf_dir)
+    return tensors.resized(px.select("video_id", "frame_idx", "y", "x", *[(F.col(c) / 255).alias(c) for c in "rgb"]), 64, 64, 8)
+
+
+@query("N06_resized_frames", f"WITH {TENSOR} SELECT video_id, frame_idx, k, round(x, 6) AS x FROM tn")
+def n06_resized(spark, sf_dir):
+    return frame_tensors(spark, sf_dir).select("video_id", "frame_idx", F.posexplode("x").alias("k", "x")).withColumn("x", r6("x"))
+
+
+DIFFS = f"""{TENSOR}, dt AS (SELECT a.video_id, a.frame_idx, a.k, a.x, b.x IS NULL AS last, coalesce((b.x - a.x) / (b.x + a.x), 0) AS d FROM tn a LEFT JOIN tn b ON b.video_id = a.video_id AND b.k = a.k AND b.frame_idx = a.frame_idx + 1)"""
+
+
+def _motion(spark, sf_dir, **options) -> DataFrame:
+    out = tensors.motion_input(frame_tensors(spark, sf_dir), block=2, **options)
+    return out.select("video_id", "frame_idx", F.posexplode(F.arrays_zip("motion", "still")).alias("k", "s")).select("video_id", "frame_idx", "k", r6("s.motion").alias("motion"), r6("s.still").alias("still"))
+
+
+@query("N06_motion_input", f"WITH {DIFFS} SELECT video_id, frame_idx, k, round(d / coalesce(nullif(stddev_pop(d) OVER v, 0), 1), 6) + 0.0 AS motion, round((x - avg(x) OVER v) / coalesce(nullif(stddev_pop(x) OVER v, 0), 1), 6) + 0.0 AS still FROM dt WINDOW v AS (PARTITION BY video_id)")
+def n06(spark, sf_dir):
+    return _motion(spark, sf_dir)
+
+
+@query("N06_motion_input_parity", f"""WITH {DIFFS}, ls AS (SELECT video_id, max(frame_idx) AS top FROM tn GROUP BY video_id),
+zd AS (SELECT dt.* REPLACE (CASE WHEN frame_idx = top - 1 THEN 0 ELSE d END AS d), top FROM dt JOIN ls USING (video_id)),
+st AS (SELECT video_id, stddev_pop(d) FILTER (frame_idx < top) AS s, avg(x) AS m, stddev_pop(x) AS t FROM zd GROUP BY video_id)
+SELECT video_id, frame_idx, k, round(d / coalesce(nullif(s, 0), 1), 6) + 0.0 AS motion, round((x - m) / coalesce(nullif(t, 0), 1), 6) + 0.0 AS still FROM zd JOIN st USING (video_id) WHERE frame_idx < top""")
+def n06_parity(spark, sf_dir):
+    return _motion(spark, sf_dir, parity=True)
+
+
+def _shift_sql(clip: str) -> str:
+    return f"""WITH {TENSOR} SELECT a.video_id, a.frame_idx, a.k, round(CASE a.k % 3 WHEN 0 THEN coalesce(n.x, 0) WHEN 1 THEN coalesce(p.x, 0) ELSE a.x END, 6) AS x FROM tn a
+LEFT JOIN tn n ON n.video_id = a.video_id AND n.k = a.k AND n.frame_idx = a.frame_idx + 1 AND {clip.format("n")} LEFT JOIN tn p ON p.video_id = a.video_id AND p.k = a.k AND p.frame_idx = a.frame_idx - 1 AND {clip.format("p")}"""
+
+
+def _shifted(spark, sf_dir, depth: int | None) -> DataFrame:
+    out = tensors.temporal_shift(frame_tensors(spark, sf_dir), 3, depth=depth, block=2)
+    return out.select("video_id", "frame_idx", F.posexplode("x").alias("k", "x")).withColumn("x", r6("x"))
+
+
+@query("N11_temporal_shift", _shift_sql("true"))
+def n11_shift(spark, sf_dir):
+    return _shifted(spark, sf_dir, None)
+
+
+@query("N11_temporal_shift_clips", _shift_sql("{}.frame_idx // 3 = a.frame_idx // 3"))
+def n11_clips(spark, sf_dir):
+    return _shifted(spark, sf_dir, 3)
+
+
+@query("N11_attention_mask", f"WITH {TENSOR} SELECT video_id, frame_idx, k, round(x * 32 / sum(x) OVER (PARTITION BY video_id, frame_idx, k % 3), 6) AS x FROM tn")
+def n11_mask(spark, sf_dir):
+    rows = frame_tensors(spark, sf_dir).withColumn("x", tensors.attention_mask(F.col("x"), 3))
+    return rows.select("video_id", "frame_idx", F.posexplode("x").alias("k", "x")).withColumn("x", r6("x"))
+
+
+@query("N09_batched_model", f"""WITH {TENSOR}, md AS (SELECT video_id, frame_idx, sum(x * (k % 3)) - max(x) AS y FROM tn GROUP BY ALL)
+SELECT video_id, frame_idx, round((y - avg(y) OVER v) / stddev_samp(y) OVER v, 6) + 0.0 AS y FROM md WINDOW v AS (PARTITION BY video_id)""")
+def n09(spark, sf_dir):
+    import numpy as np
+
+    model = lambda x: (x * (np.arange(x.shape[1]) % 3)).sum(1) - x.max(1)  # noqa: E731 - stands for a network
+    return tensors.standardised(tensors.predicted(frame_tensors(spark, sf_dir), model, batch=5, block=4)).withColumn("y", r6("y"))
+
+
 @query("C03_C07_W06_clustered_rates")
 def c06(spark, sf_dir):
     signals = emb(spark, sf_dir).select("video_id", F.lit("CHROM").alias("method"), F.col("win_idx").cast("int").alias("win_idx"), F.col("win_idx").cast("double").alias("t_center"), "estimator_id", "bvp")
