@@ -6,7 +6,7 @@ comparing neighbours; to do so over many tasks, equal strings have to meet in on
  1. In each window of `width` bytes the k-gram with the smallest hash is the window's anchor. Equal windows have equal
     anchors at equal places, so all windows that one anchor answers for (its context, a run of window starts) need to be
     compared with contexts of the same k-gram only. K-grams that occur once have no repeats and are dropped.
- 2. Equal contexts are sorted once, with their number; so groups of copies cost no more than one of them.
+ 2. Equal contexts, as 128 bits of BLAKE2b tell them, are sorted once, with their number; so groups of copies cost no more than one of them.
  3. Contexts that share their k-gram come together in pieces of bounded size. A piece's suffixes are sorted in two stages:
     those smaller than their successors directly, all others are induced from them by one scan of the buckets. Windows
     whose common prefix with a neighbour reaches `width`, or whose context stands for several, are repeated.
@@ -36,20 +36,26 @@ WIDTH, GRAM = 200, 48
 
 
 def _key(text: bytes) -> tuple[int, int]:
-    """128 bits of a text, as two signed longs: equal texts are told from others by them."""
-    d = xxhash.xxh3_128_digest(text)
+    """128 bits of a text's BLAKE2b, as two signed longs: equal texts are told from others by them."""
+    d = _digest(text)
     return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
 
 
+def _digest(data: bytes, d: int = 0, n: int = 0) -> bytes:
+    """What tells texts, and contexts with their anchor's place and number of windows, from others: nobody can make two of one digest."""
+    return hashlib.blake2b(data, digest_size=16, salt=d.to_bytes(8, "big") + n.to_bytes(8, "big")).digest()
+
+
 def anchors(texts: list[bytes], width: int = WIDTH, gram: int = GRAM):
     """Of each context: (text, first window's start in the text, number of windows, anchor's place in the first window, k-gram
-    hash, context hash), as arrays."""
+    hash, context's digest), as arrays and a list of digests."""
     sizes = np.array([len(t) for t in texts], np.int64)
-    a = np.frombuffer(b"".join(texts), np.uint8)
+    whole = b"".join(texts)
+    a = np.frombuffer(whole, np.uint8)
     n, span = len(a), width - gram + 1
     none = np.zeros(0, np.int64)
     if n < width:
-        return none, none, none, none, none, none
+        return none, none, none, none, none, []
     power, inverse = _power(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((a.astype(np.uint64) + np.uint64(1)) * power[:-1], out=sums[1:])
@@ -70,8 +76,8 @@ def anchors(texts: list[bytes], width: int = WIDTH, gram: int = GRAM):
     runs = np.diff(np.concatenate((new, [len(text)])))
     first, anchor = place[new], anchor[new]
     end = first + runs - 1 + width
-    c = mix((sums[end] - sums[first]) * inverse[first] + mix((anchor - first).astype(np.uint64) << np.uint64(32) | runs.astype(np.uint64)))
-    return text[new], at[new], runs, anchor - first, h[anchor].view(np.int64), c.view(np.int64)
+    c = [_digest(whole[i:j], d, m) for i, j, d, m in zip(first.tolist(), end.tolist(), (anchor - first).tolist(), runs.tolist(), strict=True)]
+    return text[new], at[new], runs, anchor - first, h[anchor].view(np.int64), c
 
 
 def _words_at(t: np.ndarray) -> np.ndarray:
@@ -217,9 +223,9 @@ def occurrences(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFr
                 keys = np.array([_key(t) for t in texts], np.int64).reshape(-1, 2)
                 copies = np.array(list(own.values()), np.int64)
                 text, first, n, place, h, c = anchors(texts, width, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, c, keys[text, 0], keys[text, 1], first << 32 | place << 16 | n, copies[text])], names=["h", "c", "k1", "k2", "at", "copies"])
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c, pa.binary()), *(pa.array(x) for x in (keys[text, 0], keys[text, 1], first << 32 | place << 16 | n, copies[text]))], names=["h", "c", "k1", "k2", "at", "copies"])
 
-    return docs.select("text").mapInArrow(run, "h long, c long, k1 long, k2 long, at long, copies long")
+    return docs.select("text").mapInArrow(run, "h long, c binary, k1 long, k2 long, at long, copies long")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -236,7 +242,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, k1 long, k2 long, z binary")
 
 
-_CONTEXT = "h long, c long, m long, n int, d int, hot boolean, context binary"
+_CONTEXT = "h long, c binary, m long, n int, d int, hot boolean, context binary"
 
 
 def _marked(rows: DataFrame, most: int) -> tuple[DataFrame, bool]:
@@ -253,7 +259,7 @@ def _sorted_contexts(contexts: DataFrame, width: int) -> DataFrame:
     def judge(h: list, c: list, m: list, n: list, context: list) -> pa.RecordBatch:
         masks = repeated(context, np.array(n, np.int64), np.array(m) > 1, width)
         keep = [k for k, x in enumerate(masks) if x.any()]
-        return pa.RecordBatch.from_arrays([pa.array([h[k] for k in keep], pa.int64()), pa.array([c[k] for k in keep], pa.int64()), pa.array([_runs(masks[k]) for k in keep], _RUNS)], names=["h", "c", "runs"])
+        return pa.RecordBatch.from_arrays([pa.array([h[k] for k in keep], pa.int64()), pa.array([c[k] for k in keep], pa.binary()), pa.array([_runs(masks[k]) for k in keep], _RUNS)], names=["h", "c", "runs"])
 
     def sort(batches):
         """Whole groups of a k-gram, as many at a time as make a large enough piece."""
@@ -270,11 +276,11 @@ def _sorted_contexts(contexts: DataFrame, width: int) -> DataFrame:
             yield judge(*map(list, zip(*held, strict=True)))
 
     together = contexts.repartition(parallel(contexts), "h").sortWithinPartitions("h")
-    return together.mapInArrow(sort, "h long, c long, runs array<struct<a:int,b:int>>")
+    return together.mapInArrow(sort, "h long, c binary, runs array<struct<a:int,b:int>>")
 
 
 def blocks(context: bytes, n: int, d: int, step: int, width: int = WIDTH):
-    """(first window, windows, anchor's place in the first, k-gram hash, context hash, bytes) of each block of a context.
+    """(first window, windows, anchor's place in the first, k-gram hash, context's digest, bytes) of each block of a context.
 
     The windows of a block have the anchor at places of the same `step`; `step - 1` bytes less than a window are common to all
     windows that can be in the block, in whatever context, and give the k-gram's hash.
@@ -285,14 +291,13 @@ def blocks(context: bytes, n: int, d: int, step: int, width: int = WIDTH):
         part = context[first : last + width]
         common = context[d - q * step : d - q * step + width - step + 1]
         h = xxhash.xxh3_64_intdigest(common, step << 16 | q)
-        c = xxhash.xxh3_64_intdigest(part, (d - first) << 16 | (last - first + 1))
-        yield first, last - first + 1, d - first, h - (h >> 63 << 64), c - (c >> 63 << 64), part
+        yield first, last - first + 1, d - first, h - (h >> 63 << 64), _digest(part, d - first, last - first + 1), part
 
 
 def _split(contexts: DataFrame, step: int, width: int) -> DataFrame:
     """(h, c, k, h2, c2, m, n, d, context): the blocks of each context, with the number k of their first window in it."""
     names = ["h", "c", "k", "h2", "c2", "m", "n", "d", "context"]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    types = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
     def run(batches):
         for batch in batches:
@@ -302,7 +307,7 @@ def _split(contexts: DataFrame, step: int, width: int) -> DataFrame:
                     out += [(h, c, k, h2, c2, m, size, place, part) for k, size, place, h2, c2, part in blocks(context, n, d, step, width)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    return contexts.mapInArrow(run, "h long, c long, k int, h2 long, c2 long, m long, n int, d int, context binary")
+    return contexts.mapInArrow(run, "h long, c binary, k int, h2 long, c2 binary, m long, n int, d int, context binary")
 
 
 def _compared(contexts: DataFrame, hot: bool, steps: list[int], width: int, most: int) -> DataFrame:
@@ -352,7 +357,7 @@ def repeated_contexts(texts: DataFrame, found: DataFrame, width: int = WIDTH, gr
 
 
 def _contexts(out: list[list]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+    types = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["h", "c", "m", "n", "d", "hot", "context"])
 
 

@@ -89,3 +89,15 @@ def test_one_passage_in_many_surroundings(spark):
     want = [(k, *w) for k, w in enumerate(slow([t.encode() for t in texts], 200))]
     got = without_repeats(df, most=20).drop("kept").orderBy("doc_id").collect()
     assert [tuple(r) for r in got] == want
+
+
+def test_contexts_are_told_apart_by_more_than_a_polynomial(spark):
+    """These heads have one sum of bytes times powers of a known base modulo 2 ** 64, so a hash by it took the texts for equal."""
+    tail = (
+        "ramgnaqhoprhlhhojanr df jdkqnqgjjspqmsbphmnflrlcoqdfqmlpapbjtssm ffqhagrrhmqlsloirtamqeqrgnbplsrgqnplnlarrttkotah"
+        " frsfcribccaoaihidtfljcffiqfi jokppdajmkngidiqgtnahamebfoqn"
+    )
+    texts = ["m" * 28 + tail, "mkkpmkjknkkknmokljjnnmmmolmm" + tail, "short"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in without_repeats(df).collect()} == {0: 0, 1: 0, 2: 0}
+    assert [len(t) for t in texts] == [200, 200, 5]
