@@ -6,13 +6,15 @@ the tries would prune nothing. So the links that are left are found by an exact
 
 A set is the 64-bit hashes of a text's shingles. In any order of all shingles, two sets that are similar enough share one
 of their first n - ceil(similarity * n) + 1 shingles; so these prefixes are joined and no pair is missed. Shingles that a
-sample finds in several texts come last in the order, which changes the cost, not the result. A candidate has to pass the
+sample finds in several texts come last in the order, the most frequent at the end, which changes the cost, not the result. A candidate has to pass the
 sizes, the shingle's places in both sets and a sketch of parities, all of which only rule out pairs that cannot be similar
 enough, and then the comparison of the whole sets.
 
-Large groups of near copies are linked in two steps: SimHash's links and each shared shingle's texts with a central one first,
-then the pairs that are still in different components, so that what is compared doesn't grow with the square of such a
-group.
+Large groups of near copies are linked in steps: SimHash's links and each shared shingle's texts with a central one first; then,
+some rounds long, the texts outside a shingle's largest component with one text of another component, another one for
+each shingle and round; at last the pairs that are still in different components. What the last step compares is the
+texts that few others are similar to, times the texts they share a prefix's shingle with: it grows with the square of a
+group only where the group's texts are like many and similar to none.
 """
 
 from __future__ import annotations
@@ -30,6 +32,10 @@ from .components import components
 from .simhash import _signed, links, majority, shingles
 
 SAMPLE = 4096
+#: Rounds in which texts of different components meet one by one before all such pairs do; changes the cost, not the result.
+ROUNDS = 2
+#: Pairs for each row that the last step may make without such rounds.
+WORTH = 8
 MOST_COMMON = 1 << 17
 
 
@@ -58,16 +64,19 @@ def sketches_differ(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(p ^ q).sum())
 
 
-def prefix(s: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
-    """The shingles of which a similar set shares at least one, in the order of all shingles."""
+def prefix(s: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The shingles of which a similar set shares at least one, in the order of all shingles: those that aren't common, then the common ones by their rank."""
     if not len(s):
         return s
-    last = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s if len(common) else np.zeros(len(s), bool)
-    return np.concatenate((s[~last], s[last]))[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1]
+    hashes, rank = common
+    at = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
+    last = hashes[at] == s if len(hashes) else np.zeros(len(s), bool)
+    tail = s[last][np.argsort(rank[at[last]], kind="stable")] if len(hashes) else s[:0]
+    return np.concatenate((s[~last], tail))[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1]
 
 
-def _common(rows: DataFrame, width: int, seed: int) -> np.ndarray:
-    """Shingles that three or more texts of a sample have."""
+def _common(rows: DataFrame, width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that three or more texts of a sample have, ascending, and their ranks, the rarest first."""
 
     def run(batches):
         for batch in batches:
@@ -78,7 +87,9 @@ def _common(rows: DataFrame, width: int, seed: int) -> np.ndarray:
     if (n := rows.count()) > SAMPLE:
         rows = rows.filter(F.xxhash64("__uid") < int(-(2**63) + SAMPLE / n * 2.0**64))
     found = rows.select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 2")
-    return np.sort(np.array([r["h"] for r in found.orderBy(F.desc("n"), "h").limit(MOST_COMMON).collect()], np.int64).view(np.uint64))
+    hashes = np.array([r["h"] for r in found.orderBy(F.desc("n"), "h").limit(MOST_COMMON).collect()], np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], len(order) - order
 
 
 def _near(na, nb, at_a, at_b, similarity: float):
@@ -173,6 +184,30 @@ def _with_central(shared: DataFrame) -> DataFrame:
     return found[0].select(*shared.columns, "f.*").unionByName(found[1].select(*shared.columns, "f.*"))
 
 
+def _apart(shared: DataFrame, edges: DataFrame) -> DataFrame:
+    """shared with each text's label and the `large` one, its shingle's most frequent; of shingles whose texts are in several components."""
+    rows = stored(_labelled(shared, edges))
+    sizes = rows.groupBy("h", "label").agg(F.count("*").alias("size"))
+    large = sizes.groupBy("h").agg(F.max_by("label", F.struct("size", "label")).alias("large"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
+    return rows.join(large, "h")
+
+
+def _left(apart: DataFrame) -> tuple[int, int]:
+    """(rows, pairs): how many rows there are, and how many pairs the last step would bring together for them."""
+    sizes = apart.groupBy("h").agg(F.count("*").alias("all"), F.count(F.when(F.col("label") != F.col("large"), 1)).alias("rest"))
+    got = sizes.agg(F.sum("all"), F.sum(F.col("all") * F.col("rest"))).first()
+    return got[0] or 0, got[1] or 0
+
+
+def _one_each(apart: DataFrame, turn: int) -> DataFrame:
+    """apart, less the texts of the largest components, with (b, nb, bt): a text of the shingle's largest component and one of any, both by a hash of the turn."""
+    order = F.xxhash64("h", "key", F.lit(turn))
+    pick = F.min(F.struct(order.alias("order"), F.col("key").alias("b"), F.col("n").alias("nb"), F.col("at").alias("bt"), F.col("label").alias("lb"))).alias("f")
+    rest = apart.filter("label != large")
+    found = [rest.join(side.groupBy("h").agg(pick), "h").select(*apart.columns, "f.*") for side in (apart.filter("label = large"), apart)]
+    return found[0].unionByName(found[1]).filter("label != lb")
+
+
 def _labelled(rows: DataFrame, edges: DataFrame) -> DataFrame:
     label = cut(components(edges))
     return rows.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
@@ -222,10 +257,15 @@ def similar_classes(rows: DataFrame, similarity: float = 0.8, width: int = 5, se
 
     pairs = ordered(_simhash_pairs(small.select("key", "fp"), budget)).unionByName(ordered(_with_central(shared).filter((F.col("key") != F.col("b")) & near)))
     edges = _verified(pairs, rows, small, similarity, width, seed)
+    apart = stored(_apart(shared, edges))
+    for turn in range(ROUNDS):
+        texts, meetings = _left(apart)
+        if meetings <= WORTH * texts:
+            break
+        more = ordered(_one_each(apart, turn).filter(near))
+        edges = cut(edges.unionByName(_verified(more, rows, small, similarity, width, seed)))
+        apart = stored(_apart(shared, edges))
     # of a shingle's texts, those in its largest component need to meet the others only
-    apart = stored(_labelled(shared, edges))
-    large = apart.groupBy("h", "label").agg(F.count("*").alias("size")).groupBy("h").agg(F.max_by("label", F.struct("size", "label")).alias("large"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
-    apart = apart.join(large, "h")
     other = apart.select("h", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("at").alias("bt"), F.col("label").alias("lb"), (F.col("label") == F.col("large")).alias("main"))
     met = apart.filter("label != large").join(other, "h").filter((F.col("label") != F.col("lb")) & (F.col("main") | (F.col("key") < F.col("b"))) & near)
     edges = edges.unionByName(_verified(ordered(met), rows, small, similarity, width, seed))

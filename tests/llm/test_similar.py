@@ -71,3 +71,24 @@ def test_clashing_columns_and_ids(spark):
     df = spark.createDataFrame([(i, t, k, "z") for k, (i, t) in enumerate(zip([None, 4, None, None, 4], texts, strict=True))], "doc_id long, text string, __uid int, __class string")
     got = one_of_each(df)
     assert got.columns == df.columns and sorted(r["__uid"] for r in got.collect()) in ([1, 2, 4], [1, 3, 4])
+
+
+def test_form_letters_are_not_all_compared(spark, monkeypatch):
+    """Texts of forty segments, each with a variant in one of twelve: most pairs are close to the bound, few texts are like many."""
+    from sanguine.llm import similar
+
+    rng = np.random.default_rng(5)
+    segments = [[" ".join(rng.choice(5000, 8).astype(str)) for _ in range(2)] for _ in range(40)]
+    texts = [" ".join(s[int(rng.random() < 0.08)] for s in segments) for _ in range(240)]
+    compared, whole = [], similar._verified
+
+    def counted(pairs, *rest):
+        pairs = similar.cut(pairs.distinct())
+        compared.append(pairs.count())
+        return whole(pairs, *rest)
+
+    monkeypatch.setattr(similar, "_verified", counted)
+    got = {r["__uid"]: r["__class"] for r in similar_classes(spark.createDataFrame(list(enumerate(texts)), "__uid long, text string")).collect()}
+    first: dict = {}
+    assert [first.setdefault(got[k], k) for k in range(len(texts))] == slow_classes(texts)
+    assert sum(compared) < 0.4 * 240 * 239 / 2 and compared[-1] < 0.12 * 240 * 239 / 2, compared
