@@ -24,13 +24,18 @@ def butter_bandpass(low: float, high: float, fs: float, order: int = 6) -> tuple
 
 def lfilter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray | None = None) -> np.ndarray:
     """Causal filter along time, direct form II transposed; state: (rows, len(a) - 1)."""
+    return lfilter_on(b, a, x, state)[0]
+
+
+def lfilter_on(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """lfilter, and the state after it."""
     z = np.zeros((len(x), len(a) - 1)) if state is None else state.copy()
     y = np.empty_like(x, float)
     for t in range(x.shape[1]):
         y[:, t] = b[0] * x[:, t] + z[:, 0]
         z[:, :-1] = z[:, 1:] + np.outer(x[:, t], b[1:-1]) - np.outer(y[:, t], a[1:-1])
         z[:, -1] = b[-1] * x[:, t] - a[-1] * y[:, t]
-    return y
+    return y, z
 
 
 def steady_state(b: np.ndarray, a: np.ndarray) -> np.ndarray:

@@ -15,6 +15,7 @@ from .functions import dsp
 from .operators import align, bayes, extraction, filters, hypothesis, metrics, pulse, stats, tensors, windows
 from .plans import pipeline
 from .plans.config import MethodSpec, parse
+from .sources import bdf, frames
 from .streaming import realtime
 
 FPS, SIZE, STRIDE, WIDTH, STEP = 10.0, 8.0, 1.0, 80, 10
@@ -855,6 +856,39 @@ def s10(spark, sf_dir):
     return load(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
+@query("S09_recordings", f"""WITH {RGB}, ln AS (SELECT video_id, count(*) // 10 * 10 AS n FROM rgb GROUP BY video_id)
+SELECT 'v' || video_id AS path, CAST(10 AS DOUBLE) AS fs, CAST(frame_idx - 199 AS INTEGER) AS k, floor(g * 100) AS value FROM rgb JOIN ln USING (video_id) WHERE frame_idx >= 199 AND frame_idx < n""")
+def s09(spark, sf_dir):
+    """Traces as recordings of three channels, with an event each 97 samples from the sixth on, decoded from the third event."""
+    import numpy as np
+    import pandas as pd
+
+    def record(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("frame_idx")
+        channels = [np.floor(pdf["r"] * 100), np.floor(pdf["g"] * 100), pdf["frame_idx"] % 97 == 5]
+        return pd.DataFrame([(f"v{pdf['video_id'].iloc[0]}", bdf.encoded([np.asarray(c, int) for c in channels], 10))], columns=["path", "content"])
+
+    raw = rgb(spark, sf_dir).groupBy("video_id").applyInPandas(record, "path string, content binary")
+    out = bdf.decoded(pipeline.written(raw), channel=1)
+    return out.select("path", "fs", F.posexplode("signal").alias("k", "value"))
+
+
+@query("S19_S21_image_frames", f"""WITH {PIX}, im AS (SELECT video_id, frame_idx, y, x, max(CAST(floor(least(r, 255)) AS INTEGER)) AS r, max(CAST(floor(least(g, 255)) AS INTEGER)) AS g, max(CAST(floor(least(b, 255)) AS INTEGER)) AS b FROM px GROUP BY ALL)
+SELECT 'v' || video_id AS video_id, 0 AS estimator_id, CAST(frame_idx AS BIGINT) AS frame_idx, round(sum(r) / 4096, 6) AS r, round(sum(g) / 4096, 6) AS g, round(sum(b) / 4096, 6) AS b FROM im GROUP BY video_id, frame_idx""")
+def s19(spark, sf_dir):
+    """Each supplier's pixels as images, decoded again to their mean colours."""
+    import numpy as np
+    import pandas as pd
+
+    def image(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.zeros((64, 64, 3), np.uint8)
+        np.maximum.at(x, (pdf["y"].to_numpy(), pdf["x"].to_numpy()), pdf[["r", "g", "b"]].clip(upper=255).to_numpy().astype(np.uint8))
+        return pd.DataFrame([(f"v{pdf['video_id'].iloc[0]}", int(pdf["frame_idx"].iloc[0]), b"P6 64 64 255\n" + x.tobytes(), False)], columns=["video_path", "frame_idx", "content", "last"])
+
+    images = pixels(spark, sf_dir).groupBy("video_id", "frame_idx").applyInPandas(image, "video_path string, frame_idx long, content binary, last boolean")
+    return frames.colours(images).select("video_id", "estimator_id", "frame_idx", *[r6(c).alias(c) for c in "rgb"])
+
+
 @query("Q08_event_windows", "SELECT user_id AS video_id, epoch_us(time_bucket(INTERVAL 1 day, ts, TIMESTAMP '1970-01-01')) AS start_us, round(avg(value), 6) AS mean, count(*) AS n FROM events GROUP BY ALL")
 def q08(spark, sf_dir):
     rows = load(spark, sf_dir, "events").select(F.col("user_id").alias("video_id"), F.col("ts").cast("timestamp").alias("ts"), "value")
@@ -995,3 +1029,18 @@ def q01(spark, sf_dir):
     rates = realtime.rates(spark.readStream.schema(frames.schema).parquet(source), realtime.Live(fps=FPS, window=SIZE, stride=STRIDE))
     rates.writeStream.format("parquet").option("path", sink).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(rates.schema).parquet(sink)
+
+
+_CAUSAL = dsp.butter_bandpass(0.8, 4.0, FPS, 2)
+
+
+@query("Q03_causal_stream", f"""WITH {RGB}, sg AS (SELECT video_id, 0 AS win_idx, list(g ORDER BY frame_idx) AS x FROM rgb GROUP BY video_id), {signal_sql.causal("sg", "y", *_CAUSAL)}
+SELECT video_id, 0 AS estimator_id, CAST(i - 1 AS BIGINT) AS frame_idx, round(x[i], 6) + 0.0 AS value FROM (SELECT video_id, x, unnest(range(1, len(x) + 1)) AS i FROM y)""")
+def q03(spark, sf_dir):
+    """Green of each trace through a causal band-pass whose delay line is a stream's state, written as it comes."""
+    source, sink, state = (_path(spark, k) for k in ("frames", "filtered", "state"))
+    traces = rgb(spark, sf_dir).select("video_id", "estimator_id", "frame_idx", F.col("g").alias("value"))
+    traces.write.parquet(source)
+    out = realtime.causal(spark.readStream.schema(traces.schema).option("maxFilesPerTrigger", 2).parquet(source), *_CAUSAL)
+    out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(sink).withColumn("value", r6("value"))

@@ -95,8 +95,8 @@ BESIDE: dict[str, tuple[str, Callable]] = {
 }
 
 
-def _not_here(data: bytes):
-    raise NotImplementedError("BDF recordings need a decoder that this package does not bring")
+def _elsewhere(data: bytes):
+    raise NotImplementedError("recordings are decoded by record, see sources/bdf.py")
 
 
 #: name -> (video pattern, signal pattern, kind of ground truth, parser)
@@ -105,7 +105,7 @@ CONNECTORS: dict[str, tuple[str, str, str, Callable]] = {
     "ecg_fitness": ("*.avi", "viatom*.csv", "ECG", _ecg_csv),
     "lgi_ppgi": ("*.avi", "cms50*.xml", "BVP", _xml_values),
     "sample": ("*.avi", "cms50*.xml", "BVP", _xml_values),
-    "mahnob": ("*.avi", "*emotion*.bdf", "ECG", _not_here),
+    "mahnob": ("*.avi", "*emotion*.bdf", "ECG", _elsewhere),
     "pure": ("*.avi", "*.json", "BVP", _json_waveform),
     "ubfc1": ("*.avi", "*.xmp", "BVP", _csv_ms(3, 0)),
     "ubfc2": ("*.avi", "ground_truth.txt", "BVP", _three_lines),
@@ -159,6 +159,10 @@ def read_signals(spark: SparkSession, dataset: str, root: str) -> DataFrame:
     with an unreadable one, is an error.
     """
     _, pattern, _, parser = connector(dataset)
+    if parser is _elsewhere:
+        from .bdf import read_recordings
+
+        return read_recordings(spark, root, pattern)
     raw = _parsed(spark, root, pattern, lambda data: (float((got := parser(data))[0]), [float(v) for v in got[1]]), SCHEMA)
     if (key := dataset.lower().replace("-", "_")) not in BESIDE:
         return raw

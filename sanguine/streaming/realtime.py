@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bvp, dsp
+from ..operators.pulse import FILTERS, ArrayFunction
+
+#: numpy forms of the filters that are column functions in a batch plan.
+_BLOCKS = {"zeromean": lambda x: x - x.mean(1, keepdims=True), "zscore": lambda x: (x - x.mean(1, keepdims=True)) / x.std(1, keepdims=True)}
 
 
 @dataclass(frozen=True)
@@ -24,6 +28,30 @@ class Live:
     min_hz: float = 0.7
     max_hz: float = 3.0
     filter_signal: bool = True
+    #: Estimators with a frame that is all darker or all brighter are left out of a window.
+    gate: tuple[float, float] | None = None
+    #: Registered filters (name, params) before and after the method, window by window; with any after it, filter_signal is off.
+    pre: tuple[tuple[str, dict], ...] = ()
+    post: tuple[tuple[str, dict], ...] = ()
+    #: A video without frames for so long (processing time) ends, like `10 minutes`; None: never.
+    idle: str | None = None
+
+
+def kernel(name: str, fps: float, params: dict | None = None) -> Callable[[np.ndarray], np.ndarray]:
+    """A registered filter as a function of (rows, time); `adaptive` stands for the rate. A filter that is a column function only raises ValueError."""
+    if name not in FILTERS:
+        raise ValueError(f"no such filter: {name}; there are {', '.join(FILTERS)}")
+    if name in _BLOCKS:
+        return _BLOCKS[name]
+    made = FILTERS[name](fps, {k: fps if v == "adaptive" else v for k, v in (params or {}).items()})
+    if not isinstance(made, ArrayFunction):
+        raise ValueError(f"the filter {name} has no form for streams")
+    return made.function
+
+
+def _milliseconds(span: str) -> int:
+    n, unit = span.split()
+    return int(float(n) * {"second": 1000, "minute": 60_000, "hour": 3_600_000}[unit.rstrip("s")])
 
 
 def rates(frames: DataFrame, live: Live = Live()) -> DataFrame:
@@ -31,19 +59,44 @@ def rates(frames: DataFrame, live: Live = Live()) -> DataFrame:
 
     State: the last window's frames of each video, so it is bounded by window x estimators. Windows start at frames 0, stride,
     2 x stride and so on, as in the batch plan; the two give equal rates for equal input. A stream that is joined late begins
-    with the first whole window. Frames of windows that were given out are left out when they come late.
+    with the first whole window. Frames of windows that were given out are left out when they come late. A row with `last` (a
+    column that frames may have) ends its video, as does `idle` time without frames: its state goes, and frames that
+    follow begin anew.
     """
     width, step = int(live.fps * live.window), max(1, int(live.fps * live.stride))
     video = frames.schema["video_id"].dataType.simpleString()
     fields = "frame_idx array<long>, estimator_id array<int>, r array<double>, g array<double>, b array<double>, next long"
 
+    before, after = ([kernel(name, live.fps, params) for name, params in chain] for chain in (live.pre, live.post))
+
+    def filtered(x: np.ndarray) -> np.ndarray:
+        """(estimators, 3, time) through the filters before the method; of too short windows nothing is left."""
+        try:
+            for f in before:
+                x = np.asarray(f(x.reshape(-1, x.shape[2])), float).reshape(x.shape)
+        except ValueError:
+            return x[:0]
+        return x
+
     def one_window(held: pd.DataFrame) -> float | None:
         cubes = [g.sort_values("frame_idx")[["r", "g", "b"]].to_numpy(float).T for _, g in held.groupby("estimator_id") if len(g) == width]
         if not cubes:
             return None
-        x = bvp.extract(live.method, np.stack(cubes), live.fps)
+        x = np.stack(cubes)
+        if live.gate:
+            x = x[~((x.max(1) < live.gate[0]) | (x.min(1) > live.gate[1])).any(1)]
+        x = filtered(x)
+        if not len(x):
+            return None
+        x = bvp.extract(live.method, x, live.fps)
         x = x[~np.isnan(x).any(1)]
-        if live.filter_signal and x.shape[1] > 39:
+        try:
+            for f in after if len(x) else ():
+                x = np.asarray(f(x), float)
+        except ValueError:
+            return None
+        x = x[~np.isnan(x).any(1)]
+        if live.filter_signal and not after and len(x) and x.shape[1] > 39:
             x = dsp.bandpass(x, live.fps, live.min_hz, live.max_hz)
         if not len(x):
             return None
@@ -51,23 +104,68 @@ def rates(frames: DataFrame, live: Live = Live()) -> DataFrame:
         return float(np.median(freqs[power.argmax(1)]))
 
     def update(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(parts))[["frame_idx", "estimator_id", "r", "g", "b"]]
-        start = -(-int(new["frame_idx"].min()) // step) * step
+        if state.hasTimedOut:
+            state.remove()
+            return
+        every = pd.concat(list(parts))
+        ended = bool(every["last"].any())
+        new = every.loc[~every["last"], ["frame_idx", "estimator_id", "r", "g", "b"]]
+        if not len(new) and not state.exists:
+            return
+        start = -1 if not len(new) else -(-int(new["frame_idx"].min()) // step) * step
         if state.exists:
             *cols, start = state.get
             new = pd.concat([pd.DataFrame(dict(zip(["frame_idx", "estimator_id", "r", "g", "b"], cols, strict=True))), new])
-        last, out = int(new["frame_idx"].max()), []
+        last, out = int(new["frame_idx"].max()) if len(new) else -1, []
         while start + width - 1 <= last:
             held = new[(new["frame_idx"] >= start) & (new["frame_idx"] < start + width)]
             if (bpm := one_window(held)) is not None:
                 out.append((key[0], start + width - 1, bpm))
             start += step
+        if ended:
+            if state.exists:
+                state.remove()
+            yield pd.DataFrame(out, columns=["video_id", "frame_idx", "bpm"])
+            return
         kept = new[new["frame_idx"] >= start]
+        if live.idle:
+            state.setTimeoutDuration(_milliseconds(live.idle))
         state.update((*[kept[c].tolist() for c in ("frame_idx", "estimator_id", "r", "g", "b")], start))
         yield pd.DataFrame(out, columns=["video_id", "frame_idx", "bpm"])
 
-    rows = frames.select("video_id", F.col("frame_idx").cast("long").alias("frame_idx"), F.col("estimator_id").cast("int").alias("estimator_id"), *[F.col(c).cast("double").alias(c) for c in "rgb"])
-    return rows.groupBy("video_id").applyInPandasWithState(update, f"video_id {video}, frame_idx long, bpm double", fields, "append", "NoTimeout")
+    rows = frames.select("video_id", F.col("frame_idx").cast("long").alias("frame_idx"), F.col("estimator_id").cast("int").alias("estimator_id"), *[F.col(c).cast("double").alias(c) for c in "rgb"], (F.coalesce("last", F.lit(False)) if "last" in frames.columns else F.lit(False)).alias("last"))
+    rows = rows.filter("last OR (frame_idx IS NOT NULL AND estimator_id IS NOT NULL)")
+    return rows.groupBy("video_id").applyInPandasWithState(update, f"video_id {video}, frame_idx long, bpm double", fields, "append", "ProcessingTimeTimeout" if live.idle else "NoTimeout")
+
+
+def causal(frames: DataFrame, b: np.ndarray, a: np.ndarray, value: str = "value") -> DataFrame:
+    """(video_id, estimator_id, frame_idx, value) of a stream's values through a causal filter, from frame 0 on and in order.
+
+    The filter's delay line is the state, with the frames that came before one that is still missing; so the result is that of
+    the whole signal, however the stream is cut. Frames that come again are left out. NULL values count as missing.
+    """
+    b, a = (np.asarray(x, float) / a[0] for x in (b, a))
+    types = {f.name: f.dataType.simpleString() for f in frames.schema}
+
+    def update(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        line, at, frame, waiting = state.get if state.exists else ([0.0] * (len(a) - 1), 0, [], [])
+        held = dict(zip(frame, waiting, strict=True))
+        for pdf in parts:
+            for k, v in zip(pdf["frame_idx"].tolist(), pdf["value"].tolist(), strict=True):
+                if k >= at:
+                    held.setdefault(k, v)
+        ready = []
+        while at in held:
+            ready.append(held.pop(at))
+            at += 1
+        y, line = dsp.lfilter_on(b, a, np.array([ready], float), np.array([line], float))
+        state.update((line[0].tolist(), at, list(held), list(held.values())))
+        yield pd.DataFrame({"video_id": [key[0]] * len(ready), "estimator_id": [key[1]] * len(ready), "frame_idx": range(at - len(ready), at), "value": y[0]})
+
+    rows = frames.select("video_id", "estimator_id", F.col("frame_idx").cast("long").alias("frame_idx"), F.col(value).cast("double").alias("value")).filter("value IS NOT NULL AND frame_idx IS NOT NULL")
+    keys = f"video_id {types['video_id']}, estimator_id {types['estimator_id']}"
+    fields = "line array<double>, at long, frame array<long>, waiting array<double>"
+    return rows.groupBy("video_id", "estimator_id").applyInPandasWithState(update, f"{keys}, frame_idx long, value double", fields, "append", "NoTimeout")
 
 
 def event_windows(events: DataFrame, window: str = "6 seconds", stride: str = "1 second", late: str = "2 seconds", time: str = "ts", keys: tuple[str, ...] = ("video_id",), value: str = "value") -> DataFrame:
