@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,26 +34,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(True)
 
 
-#: Tables that `stored` has written and nothing has removed yet.
-_TABLES: list[str] = []
+#: Tables that `stored` has written within the call of `alone` that is running, in its own thread.
+_TABLES: ContextVar[list[str] | None] = ContextVar("tables", default=None)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """df written once as a table in the shared folder; for rows that carry texts or token ids."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _TABLES.append(path)
+    if (tables := _TABLES.get()) is not None:
+        tables.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def alone(spark: SparkSession, make) -> DataFrame:
     """make(), stored; the tables that were written on the way are removed."""
-    before = len(_TABLES)
-    out = stored(make())
-    for path in _TABLES[before:-1]:
+    held = _TABLES.set([])
+    try:
+        out = stored(make())
+        written = _TABLES.get()
+    finally:
+        _TABLES.reset(held)
+    for path in written[:-1]:
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    del _TABLES[before:-1]
+    if (outer := _TABLES.get()) is not None:
+        outer.append(written[-1])
     return out
 
 
