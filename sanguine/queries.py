@@ -16,6 +16,7 @@ from .operators import align, bayes, extraction, filters, hypothesis, metrics, p
 from .plans import pipeline
 from .plans.config import MethodSpec, parse
 from .sources import bdf, frames
+from .sources import signals as recorded
 from .streaming import realtime
 
 FPS, SIZE, STRIDE, WIDTH, STEP = 10.0, 8.0, 1.0, 80, 10
@@ -856,6 +857,16 @@ def s10(spark, sf_dir):
     return load(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
+@query("S10_waveform_files", f"WITH {RGB} SELECT 'v' || video_id AS path, CAST(60 AS DOUBLE) AS fs, frame_idx AS k, g AS value FROM rgb")
+def s10_files(spark, sf_dir):
+    """Traces as the data set's JSON texts, through its connector's parser."""
+    packet = F.struct(F.col("g").alias("waveform")).alias("Value")
+    full = rgb(spark, sf_dir).groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("frame_idx", packet))).alias("x"))
+    text = F.to_json(F.struct(F.transform("x", lambda p: F.struct(p["Value"].alias("Value"))).alias("/FullPackage")))
+    raw = full.select(F.concat(F.lit("v"), F.col("video_id").cast("string")).alias("path"), F.encode(text, "UTF-8").alias("content"))
+    return recorded.signals_of(raw, "PURE").select("path", "fs", F.posexplode("signal").alias("k", "value"))
+
+
 @query("S09_recordings", f"""WITH {RGB}, ln AS (SELECT video_id, count(*) // 10 * 10 AS n FROM rgb GROUP BY video_id)
 SELECT 'v' || video_id AS path, CAST(10 AS DOUBLE) AS fs, CAST(frame_idx - 199 AS INTEGER) AS k, floor(g * 100) AS value FROM rgb JOIN ln USING (video_id) WHERE frame_idx >= 199 AND frame_idx < n""")
 def s09(spark, sf_dir):

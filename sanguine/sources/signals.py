@@ -12,7 +12,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 SCHEMA = "path string, fs double, signal array<double>, error string"
 
@@ -134,7 +133,12 @@ def files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
 
 
 def _parsed(spark: SparkSession, root: str, pattern: str, parser: Callable, schema: str) -> DataFrame:
-    """(path, the parser's two values, error) of each file; an unreadable one keeps its row with an error."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    return parsed(raw, parser, schema)
+
+
+def parsed(raw: DataFrame, parser: Callable, schema: str) -> DataFrame:
+    """(path, the parser's two values, error) of each file (path, content); an unreadable one keeps its row with an error."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
@@ -147,8 +151,13 @@ def _parsed(spark: SparkSession, root: str, pattern: str, parser: Callable, sche
                     rows.append((path, None, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=names)
 
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select("path", "content")
-    return raw.mapInPandas(run, schema)
+    return raw.select("path", "content").mapInPandas(run, schema)
+
+
+def signals_of(raw: DataFrame, dataset: str) -> DataFrame:
+    """(path, fs, signal, error) of files (path, content) by the data set's parser, as they stand."""
+    parser = connector(dataset)[3]
+    return parsed(raw, lambda data: (float((got := parser(data))[0]), [float(v) for v in got[1]]), SCHEMA)
 
 
 def read_signals(spark: SparkSession, dataset: str, root: str) -> DataFrame:
@@ -163,7 +172,8 @@ def read_signals(spark: SparkSession, dataset: str, root: str) -> DataFrame:
         from .bdf import read_recordings
 
         return read_recordings(spark, root, pattern)
-    raw = _parsed(spark, root, pattern, lambda data: (float((got := parser(data))[0]), [float(v) for v in got[1]]), SCHEMA)
+    files_ = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    raw = signals_of(files_, dataset)
     if (key := dataset.lower().replace("-", "_")) not in BESIDE:
         return raw
     name, place = BESIDE[key]
@@ -210,8 +220,10 @@ def natural(path: str):
 
 def natural_places(rows: DataFrame, name: str) -> DataFrame:
     """rows in natural order of the column `name`, with their place from 1: no task sees more than a range of the rows."""
+    from ..plans.pipeline import written
+
     ranged = rows.orderBy(*natural(name)).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    ranged = ranged.persist(StorageLevel.DISK_ONLY)  # counted and read from the same ranges
+    ranged = written(ranged)  # counted and read from the same ranges, whichever executors are lost
     sizes = {r["__part"]: r["n"] for r in ranged.groupBy("__part").agg(F.count("*").alias("n")).collect()}
     offsets, total = [], 1
     for part in sorted(sizes):
@@ -221,11 +233,17 @@ def natural_places(rows: DataFrame, name: str) -> DataFrame:
     return ranged.join(before, "__part").withColumn("place", F.col("__before") + F.col("__at")).drop("__part", "__at", "__before")
 
 
-def image_frames(spark: SparkSession, root: str, fps: float = 30.0, pattern: str = "*.png") -> DataFrame:
-    """(video_path, frame_idx, ts, content) of image sequences, one directory a video, in natural order of the names."""
+def image_frames(spark: SparkSession, root: str, fps: float = 30.0, pattern: str = "*.png", most: int = 500_000) -> DataFrame:
+    """(video_path, frame_idx, ts, content) of image sequences, one directory a video, in natural order of the names.
+
+    Up to `most` places are broadcast; of more images each goes to its place by one shuffle.
+    """
     from pyspark.sql import Window
 
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    rows = raw.select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("video_path"), "path", "content")
-    at = F.row_number().over(Window.partitionBy("video_path").orderBy(*natural("path"))) - 1
-    return rows.withColumn("frame_idx", at).select("video_path", "frame_idx", (F.col("frame_idx") / fps).alias("ts"), "content")
+    rows = raw.select(_folder("path").alias("video_path"), "path", "content")
+    # the places follow from the paths alone; no sort carries an image
+    own = Window.partitionBy("video_path").orderBy(*natural("path"))
+    places = files(spark, root, pattern).select(_folder("path").alias("video_path"), "path").select("path", (F.row_number().over(own) - 1).alias("frame_idx"))
+    small = places.count() <= most
+    return rows.join(F.broadcast(places) if small else places, "path").select("video_path", "frame_idx", (F.col("frame_idx") / fps).alias("ts"), "content")
