@@ -238,3 +238,13 @@ def test_stream_joined_late(spark, tmp_path):
     q = realtime.rates(spark.readStream.schema(frames.schema).parquet(str(tmp_path / "in")), realtime.Live(filter_signal=False)).writeStream.format("memory").queryName("late").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
     assert q.awaitTermination(180)
     assert [r.frame_idx for r in spark.table("late").orderBy("frame_idx").collect()] == [269]
+
+
+@pytest.mark.parametrize("n,size,stride,fps", [(300, 8, 1, 30.0), (239, 8, 1, 30.0), (2500, 3, 0.5, 29.97), (700, 2.5, 0.7, 12.5), (3, 8, 1, 30.0)])
+def test_window_arrays_equal_frame_windows(spark, n, size, stride, fps):
+    df = spark.range(n).selectExpr("id % 2 video_id", "CAST(id DIV 2 AS INT) frame_idx", "id * 1.5 g", "'x' other").filter("frame_idx % 50 <> 7 OR video_id = 0").repartition(5)
+    for keep in (False, True):
+        got = windows.window_arrays(df, fps, size, stride, ("video_id",), ("g",), keep).collect()
+        want = windows.frame_windows(df, fps, size, stride, ("video_id",), keep).groupBy("video_id", "win_idx", "t_center").agg(F.array_sort(F.collect_list(F.struct("win_pos", "g"))).alias("x")).collect()
+        assert sorted((r.video_id, r.win_idx, r.t_center, r.g) for r in got) == sorted((r.video_id, r.win_idx, r.t_center, [x.g for x in r.x]) for r in want)
+        assert not got or all(isinstance(r.win_idx, int) for r in got)
