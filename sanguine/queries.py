@@ -926,15 +926,15 @@ SELECT video_id, {METRICS} FROM aligned GROUP BY video_id"""
 
 @query("E2E_trace_to_errors", SLICE)
 def flagship(spark, sf_dir):
-    """Traces -> windows -> CHROM -> power -> rate -> nearest truth -> errors, in built-in functions throughout."""
+    """Traces -> windows -> CHROM -> power -> rate -> nearest truth -> errors."""
     w = wins(spark, sf_dir)
 
-    def rate(c, shift):
-        power = F.transform(A.dft_power(c, WIDTH, BINS), lambda p: F.round(p, 6))
-        return (F.col("t_center") + shift).alias("t"), (F.lit(7.5) * (A.arg_max(power) + BINS[0])).alias("bpm")
+    def rate(rows, column, shift):
+        power = F.transform("power", lambda p: F.round(p, 6))
+        spectra = pulse.dft_power(rows.select("video_id", "t_center", column), WIDTH, BINS, column)
+        return spectra.select("video_id", (F.col("t_center") + shift).alias("t"), (F.lit(7.5) * (A.arg_max(power) + BINS[0])).alias("bpm"))
 
-    es = pulse.to_bvp(w, "CHROM", FPS).select("video_id", *rate(F.col("bvp"), 0.0))
-    gt = w.select("video_id", *rate(F.col("g"), 0.5))
+    es, gt = rate(pulse.to_bvp(w, "CHROM", FPS), "bvp", 0.0), rate(w, "g", 0.5)
     return metrics.errors(align.nearest(es, gt), ("video_id",)).select("video_id", *[r6(c).alias(c) for c in ("RMSE", "MAE", "MAX", "PCC", "CCC")])
 
 
