@@ -36,6 +36,8 @@ SAMPLE = 4096
 ROUNDS = 2
 #: Pairs for each row that the last step may make without such rounds.
 WORTH = 8
+#: New links for each row that make another round worth while.
+LINKED = 0.01
 MOST_COMMON = 1 << 17
 
 
@@ -185,11 +187,11 @@ def _with_central(shared: DataFrame) -> DataFrame:
 
 
 def _apart(shared: DataFrame, edges: DataFrame) -> DataFrame:
-    """shared with each text's label and the `large` one, its shingle's most frequent; of shingles whose texts are in several components."""
-    rows = stored(_labelled(shared, edges))
+    """The rows of shared whose shingle has texts in several components, with each text's label and `large`, the shingle's most frequent; written once."""
+    rows = _labelled(shared.select("h", "key", "n", "at"), edges)
     sizes = rows.groupBy("h", "label").agg(F.count("*").alias("size"))
     large = sizes.groupBy("h").agg(F.max_by("label", F.struct("size", "label")).alias("large"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
-    return rows.join(large, "h")
+    return stored(rows.join(large, "h"))
 
 
 def _left(apart: DataFrame) -> tuple[int, int]:
@@ -257,14 +259,18 @@ def similar_classes(rows: DataFrame, similarity: float = 0.8, width: int = 5, se
 
     pairs = ordered(_simhash_pairs(small.select("key", "fp"), budget)).unionByName(ordered(_with_central(shared).filter((F.col("key") != F.col("b")) & near)))
     edges = _verified(pairs, rows, small, similarity, width, seed)
-    apart = stored(_apart(shared, edges))
+    apart = _apart(shared, edges)
     for turn in range(ROUNDS):
         texts, meetings = _left(apart)
         if meetings <= WORTH * texts:
             break
-        more = ordered(_one_each(apart, turn).filter(near))
-        edges = cut(edges.unionByName(_verified(more, rows, small, similarity, width, seed)))
-        apart = stored(_apart(shared, edges))
+        found = _verified(ordered(_one_each(apart, turn).filter(near)), rows, small, similarity, width, seed)
+        n = found.count()
+        if n:
+            edges = cut(edges.unionByName(found))
+            apart = _apart(apart, edges)
+        if n < LINKED * texts:  # texts that share shingles and are not similar
+            break
     # of a shingle's texts, those in its largest component need to meet the others only
     other = apart.select("h", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("at").alias("bt"), F.col("label").alias("lb"), (F.col("label") == F.col("large")).alias("main"))
     met = apart.filter("label != large").join(other, "h").filter((F.col("label") != F.col("lb")) & (F.col("main") | (F.col("key") < F.col("b"))) & near)
