@@ -17,6 +17,10 @@ from ..operators.pulse import FILTERS, ArrayFunction
 _BLOCKS = {"zeromean": lambda x: x - x.mean(1, keepdims=True), "zscore": lambda x: (x - x.mean(1, keepdims=True)) / x.std(1, keepdims=True)}
 
 
+#: Windows of a video that are worked out at once.
+BLOCK = 256
+
+
 @dataclass(frozen=True)
 class Live:
     """Settings of a live query; frames in, a rate each `stride` seconds once a window is full."""
@@ -78,30 +82,50 @@ def rates(frames: DataFrame, live: Live = Live()) -> DataFrame:
             return x[:0]
         return x
 
-    def one_window(held: pd.DataFrame) -> float | None:
-        cubes = [g.sort_values("frame_idx")[["r", "g", "b"]].to_numpy(float).T for _, g in held.groupby("estimator_id") if len(g) == width]
-        if not cubes:
-            return None
-        x = np.stack(cubes)
+    def many(x: np.ndarray, of: np.ndarray) -> dict[int, float]:
+        """Rates by window of the signals (estimators of all windows, 3, time); of: the window of each."""
         if live.gate:
-            x = x[~((x.max(1) < live.gate[0]) | (x.min(1) > live.gate[1])).any(1)]
+            keep = ~((x.max(1) < live.gate[0]) | (x.min(1) > live.gate[1])).any(1)
+            x, of = x[keep], of[keep]
         x = filtered(x)
         if not len(x):
-            return None
+            return {}
+        n = len(x)
         x = bvp.extract(live.method, x, live.fps)
-        x = x[~np.isnan(x).any(1)]
+        of = np.repeat(of, len(x) // n)
+        x, of = (y[keep] for keep in [~np.isnan(x).any(1)] for y in (x, of))
         try:
             for f in after if len(x) else ():
                 x = np.asarray(f(x), float)
         except ValueError:
-            return None
-        x = x[~np.isnan(x).any(1)]
+            return {}
+        x, of = (y[keep] for keep in [~np.isnan(x).any(1)] for y in (x, of))
         if live.filter_signal and not after and len(x) and x.shape[1] > 39:
             x = dsp.bandpass(x, live.fps, live.min_hz, live.max_hz)
         if not len(x):
-            return None
+            return {}
         freqs, power = dsp.welch(x, live.fps, live.min_hz, live.max_hz)
-        return float(np.median(freqs[power.argmax(1)]))
+        best = freqs[power.argmax(1)]
+        order = np.argsort(of, kind="stable")
+        windows, at = np.unique(of[order], return_index=True)
+        return {int(w): float(np.median(r)) for w, r in zip(windows, np.split(best[order], at[1:]), strict=True)}
+
+    def rated(held: pd.DataFrame, starts: np.ndarray) -> dict[int, float]:
+        """Rates by number of the windows that begin at these frames; an estimator without all its frames is left out of a window."""
+        order = np.lexsort((held["frame_idx"].to_numpy(), held["estimator_id"].to_numpy()))
+        frame, who, rgb = (held[c].to_numpy()[order] for c in ("frame_idx", "estimator_id", ["r", "g", "b"]))
+        out = {}
+        edges = np.append(np.flatnonzero(np.append(True, who[1:] != who[:-1])), len(who))
+        for k in range(0, len(starts), BLOCK):
+            some, x, of = starts[k : k + BLOCK], [], []
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                first, end = (lo + np.searchsorted(frame[lo:hi], s) for s in (some, some + width))
+                whole = np.flatnonzero(end - first == width)
+                x.append(rgb[first[whole][:, None] + np.arange(width)].astype(float).transpose(0, 2, 1))
+                of.append(whole)
+            if sum(map(len, of)):
+                out |= {k + w: bpm for w, bpm in many(np.concatenate(x), np.concatenate(of)).items()}
+        return out
 
     def update(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -117,11 +141,11 @@ def rates(frames: DataFrame, live: Live = Live()) -> DataFrame:
             *cols, start = state.get
             new = pd.concat([pd.DataFrame(dict(zip(["frame_idx", "estimator_id", "r", "g", "b"], cols, strict=True))), new])
         last, out = int(new["frame_idx"].max()) if len(new) else -1, []
-        while start + width - 1 <= last:
-            held = new[(new["frame_idx"] >= start) & (new["frame_idx"] < start + width)]
-            if (bpm := one_window(held)) is not None:
-                out.append((key[0], start + width - 1, bpm))
-            start += step
+        starts = np.arange(start, last - width + 2, step)
+        if len(starts):
+            found = rated(new, starts)
+            out = [(key[0], int(starts[k]) + width - 1, found[k]) for k in sorted(found)]
+            start = int(starts[-1]) + step
         if ended:
             if state.exists:
                 state.remove()
@@ -149,17 +173,20 @@ def causal(frames: DataFrame, b: np.ndarray, a: np.ndarray, value: str = "value"
 
     def update(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         line, at, frame, waiting = state.get if state.exists else ([0.0] * (len(a) - 1), 0, [], [])
-        held = dict(zip(frame, waiting, strict=True))
+        frames_, values = [np.array(frame, np.int64)], [np.array(waiting, float)]
         for pdf in parts:
-            for k, v in zip(pdf["frame_idx"].tolist(), pdf["value"].tolist(), strict=True):
-                if k >= at:
-                    held.setdefault(k, v)
-        ready = []
-        while at in held:
-            ready.append(held.pop(at))
-            at += 1
-        y, line = dsp.lfilter_on(b, a, np.array([ready], float), np.array([line], float))
-        state.update((line[0].tolist(), at, list(held), list(held.values())))
+            new = pdf["frame_idx"].to_numpy() >= at
+            frames_.append(pdf["frame_idx"].to_numpy()[new])
+            values.append(pdf["value"].to_numpy(float)[new])
+        # the first of rows of one frame counts
+        held, first = np.unique(np.concatenate(frames_), return_index=True)
+        value = np.concatenate(values)[first]
+        gaps = np.flatnonzero(held != at + np.arange(len(held)))
+        n = int(gaps[0]) if len(gaps) else len(held)
+        ready = value[:n]
+        y, line = dsp.lfilter_on(b, a, ready[None], np.array([line], float))
+        at += n
+        state.update((line[0].tolist(), at, held[n:].tolist(), value[n:].tolist()))
         yield pd.DataFrame({"video_id": [key[0]] * len(ready), "estimator_id": [key[1]] * len(ready), "frame_idx": range(at - len(ready), at), "value": y[0]})
 
     rows = frames.select("video_id", "estimator_id", F.col("frame_idx").cast("long").alias("frame_idx"), F.col(value).cast("double").alias("value")).filter("value IS NOT NULL AND frame_idx IS NOT NULL")
