@@ -145,8 +145,16 @@ def _unpacked(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(b.column("words").to_pylist()), np.uint64), np.concatenate(([0], np.cumsum(sizes)))
 
 
-def _classes(items: DataFrame, window: int) -> DataFrame:
-    """(uid, label): items are of one class where equal windows of words (all words of shorter items) lead from one to the other."""
+def _copies(items: DataFrame) -> DataFrame:
+    """(uid, label): items are of one class where all their words are equal."""
+    rows = items.select("uid", F.sha2("words", 256).alias("t"))
+    return rows.join(rows.groupBy("t").agg(F.min("uid").alias("label")), "t").select("uid", "label")
+
+
+def _classes(items: DataFrame, window: int, copies: bool = False) -> DataFrame:
+    """(uid, label): items are of one class where equal windows of words (all words of shorter items) lead from one to the other; only equal ones if `copies`."""
+    if copies:
+        return _copies(items)
 
     def run(batches):
         for batch in batches:
@@ -166,10 +174,10 @@ def _classes(items: DataFrame, window: int) -> DataFrame:
     return items.select("uid").join(components(edges).withColumnRenamed("node", "uid"), "uid", "left").select("uid", F.coalesce("label", "uid").alias("label"))
 
 
-def item_classes(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item_id, class_id) of each item that has words; class_id is the smallest id of the items that share its windows (null if all are null)."""
+def item_classes(benchmark: DataFrame, window: int = WINDOW, copies: bool = False) -> DataFrame:
+    """(item_id, class_id) of each item that has words; class_id is the smallest id of the items that share its windows, or its words if `copies` (null if all are null)."""
     items = _items(benchmark)
-    return _named(items, cut(_classes(items, window))).select("item_id", "class_id")
+    return _named(items, cut(_classes(items, window, copies))).select("item_id", "class_id")
 
 
 def _named(items: DataFrame, classes: DataFrame) -> DataFrame:
@@ -389,10 +397,11 @@ def _key() -> F.Column:
     return F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, window: int = WINDOW) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, window: int = WINDOW, copies: bool = False) -> DataFrame:
     """(doc_id, class_id, item_id, first_word, last_word, n_matched, similarity): a row for each document and class of items that overlap.
 
-    `item_classes` tells which items a class_id stands for; item_id is the one of them that was found in the document: of the
+    copies: classes are of items with equal words only, so no link to another text is left out; by default items that share a
+    window of words are one class, of which one is named. `item_classes` tells which items a class_id stands for; item_id is the one of them that was found in the document: of the
     items compared the one with the best window, the longest run and the smallest id. first_word and last_word are the
     outermost words of that run, n_matched and similarity those of its best window. Words are lower-cased and parted at
     white space and ASCII punctuation. Null texts have no words and overlap nothing, as do items without words; an item of
@@ -402,7 +411,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, win
     Other columns are not read. A text's words are held by one task: about 100 bytes a word.
     """
     items = _items(benchmark)
-    classes = cut(_classes(items, window))
+    classes = cut(_classes(items, window, copies))
     rows = _matches(docs, items, classes, similarity, window, exists=False)
     runs = rows.withColumn("diagonal", F.col("place") - F.col("at")).groupBy("key", "label", "uid", "diagonal").agg(
         F.min(F.col("place") + F.col("first")).alias("first_word"), F.max(F.col("place") + F.col("end") - 1).alias("last_word"), F.max(F.struct("similarity", "matched")).alias("best"))

@@ -184,3 +184,14 @@ def test_stems_bring_few_pairs_together(spark, monkeypatch, lead):
     assert sorted(((r.doc_id, r.item_id) for r in got), key=str) == slow_borders(docs, items)
     assert {(k, k) for k in range(3)} <= {(r.doc_id, r.item_id) for r in got}
     assert sum(met) < 40 * n, met
+
+
+def test_items_with_a_common_window_keep_their_links(spark):
+    """Two items that share sixteen words, and a copy of one: a text that holds both is linked to both, and the copies are one class."""
+    common = " ".join(f"c{k}" for k in range(16))
+    first, second = (f"{common} " + " ".join(f"{x}{k}" for k in range(20)) for x in "pq")
+    bench = spark.createDataFrame([(1, first), (2, second), (3, first.upper())], "item_id long, text string")
+    df = spark.createDataFrame([(10, f"{first} and {second}"), (11, second[len(common) :])], "doc_id long, text string")
+    got = {(r.doc_id, r.class_id) for r in overlaps(df, bench, copies=True).collect()}
+    assert got == {(10, 1), (10, 2), (11, 2)}
+    assert {r.item_id: r.class_id for r in item_classes(bench, copies=True).collect()} == {1: 1, 2: 2, 3: 1}
