@@ -16,15 +16,47 @@ def cosine_distances(power: np.ndarray) -> np.ndarray:
 
 
 def angles(w: np.ndarray, seed: int, eps: float = 0.01, most_rounds: int = 1000) -> np.ndarray:
-    """An angle for each element so that distant ones come to lie opposite; coordinates are improved one at a time from a seeded start."""
+    """An angle for each element, of distances w, so that distant ones come to lie opposite; coordinates are improved one at a time from a seeded start."""
     theta = np.random.default_rng(seed).random(len(w)) * 2 * np.pi
     pull = w @ np.exp(1j * theta)
+
+    def turn(k: int, by: complex) -> None:
+        pull[:] += w[k] * by
+
+    return _settled(theta, lambda k: pull[k], turn, eps, most_rounds)
+
+
+def angles_of(power: np.ndarray, seed: int, eps: float = 0.01, most_rounds: int = 1000) -> np.ndarray:
+    """angles for the cosine distances of spectra (estimators, bins), without the table of distances: their sum over
+    e^(i theta) follows from two sums over the estimators, of e^(i theta) and of unit spectrum x e^(i theta)."""
+    theta = np.random.default_rng(seed).random(len(power)) * 2 * np.pi
+    norm = np.linalg.norm(power, axis=1)
+    scale = np.divide(1.0, norm, out=np.zeros_like(norm), where=norm > 0)
+    own = (norm > 0).astype(float)  # a unit spectrum's product with itself
+    at = np.exp(1j * theta)
+    # cosine and sine parts side by side
+    both = np.stack([(c * scale) @ power for c in (at.real, at.imag)], 1)
+    sums = [at.sum()]
+
+    def pull(k: int) -> complex:
+        c = (power[k] @ both) * scale[k]
+        return sums[0] - complex(c[0], c[1]) - (1 - own[k]) * at[k]
+
+    def turn(k: int, by: complex) -> None:
+        sums[0] += by
+        at[k] += by
+        both[:] += np.outer(power[k], (by.real * scale[k], by.imag * scale[k]))
+
+    return _settled(theta, pull, turn, eps, most_rounds)
+
+
+def _settled(theta: np.ndarray, pull, turn, eps: float, most_rounds: int) -> np.ndarray:
     for _ in range(most_rounds):
         still = True
-        for k in range(len(w)):
-            new = np.angle(-pull[k]) % (2 * np.pi)
+        for k in range(len(theta)):
+            new = np.angle(-pull(k)) % (2 * np.pi)
             if abs(new - theta[k]) > eps:
-                pull += w[k] * (np.exp(1j * new) - np.exp(1j * theta[k]))
+                turn(k, np.exp(1j * new) - np.exp(1j * theta[k]))
                 still = False
             theta[k] = new
         if still:
@@ -35,12 +67,12 @@ def angles(w: np.ndarray, seed: int, eps: float = 0.01, most_rounds: int = 1000)
 def partition(theta: np.ndarray, opt_factor: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
     """Masks of the two sides of the mean angle, without members far from their side's most central one. A side may be empty."""
     side = np.sin(theta.mean() - theta) > 0
-    near = np.cos(theta[:, None] - theta) - np.eye(len(theta))
     out = []
     for mask in (side, ~side):
         idx = np.flatnonzero(mask)
         if len(idx) > 1:
-            fit = near[np.ix_(idx, idx)].sum(1) / (len(idx) - 1)
+            at = np.exp(1j * theta[idx])
+            fit = ((at.conj() * at.sum()).real - 1) / (len(idx) - 1)  # mean cosine to the others
             idx = idx[(fit >= fit.max() - opt_factor * fit.std()) | (np.arange(len(idx)) == fit.argmax())]
         kept = np.zeros(len(theta), bool)
         kept[idx] = True
@@ -48,8 +80,8 @@ def partition(theta: np.ndarray, opt_factor: float = 0.5) -> tuple[np.ndarray, n
     return out[0], out[1]
 
 
-def _side(power: np.ndarray, freqs: np.ndarray, by_variance: bool) -> dict[str, float]:
-    curve = power.sum(0)
+def _side(power: np.ndarray, mask: np.ndarray, freqs: np.ndarray, by_variance: bool) -> dict[str, float]:
+    curve = power.sum(0, where=mask[:, None])
     curve = curve / curve.max() if curve.max() > 0 else curve
     peak = float(freqs[int(curve.argmax())])
     fit = gauss_sigma(curve, freqs, peak)
@@ -89,11 +121,11 @@ def estimate(power: np.ndarray, freqs: np.ndarray, seed: int, opt_factor: float
     if len(power) == 1 or few_by_maximum and len(power) < 3:
         peak = float(freqs[np.unravel_index(power.argmax(), power.shape)[1]])
         return peak, peak, peak
-    p, q = partition(angles(cosine_distances(power), seed), opt_factor)
+    p, q = partition(angles_of(power, seed), opt_factor)
     if not p.any() or not q.any():
-        one = _side(power[p | q], freqs, by_variance)["peak"]
+        one = _side(power, p | q, freqs, by_variance)["peak"]
         return one, one, one
-    a, b = _side(power[p], freqs, by_variance), _side(power[q], freqs, by_variance)
+    a, b = _side(power, p, freqs, by_variance), _side(power, q, freqs, by_variance)
     va, vb = _votes(a, b, float(np.median(freqs[power.argmax(1)])))
     first = va > vb or va == vb and tie_by_snr and a["snr"] / a["sigma"] < b["snr"] / b["sigma"]
     return (a if first else b)["peak"], a["peak"], b["peak"]
