@@ -5,9 +5,11 @@ from __future__ import annotations
 from typing import Protocol
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import batches
 from .filters import colour_gate
 
 
@@ -89,23 +91,55 @@ def inside_hull(polygon: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray
     return out
 
 
+def _edges(points: list) -> list[tuple[float, ...]]:
+    """Sides (ay, ax, by, bx) of the points' hull; none of fewer than three corners, and none with a place that is missing."""
+    corners = hull(np.array([(np.nan if p["y"] is None else p["y"], np.nan if p["x"] is None else p["x"]) for p in points], float).reshape(-1, 2))
+    if len(corners) < 3 or np.isnan(corners).any():
+        return []
+    return [(*map(float, a), *map(float, b)) for a, b in zip(corners, np.roll(corners, -1, 0), strict=True)]
+
+
 def hull_mask(pixels: DataFrame, landmarks: DataFrame, face: list[int], holes: dict[str, list[int]]) -> DataFrame:
-    """Pixels inside the face's hull and outside the holes' (eyes, mouth). A feature with three points or fewer is skipped."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pixels.schema)
-
-    def mask(px, ld):
-        if not len(px):
-            return px
-        at = ld.set_index("ldmk_id")[["y", "x"]]
-        poly = lambda ids: hull(at.loc[[i for i in ids if i in at.index]].to_numpy(float))
-        y, x = px["y"].to_numpy(float), px["x"].to_numpy(float)
-        keep = inside_hull(poly(face), y, x)
-        for ids in holes.values():
-            if sum(i in at.index for i in ids) > 3:
-                keep &= ~inside_hull(poly(ids), y, x)
-        return px[keep]
-
-    return pixels.groupBy("video_id", "frame_idx").cogroup(landmarks.groupBy("video_id", "frame_idx")).applyInPandas(mask, fields)
+    """Pixels inside the face's hull and outside the holes' (eyes, mouth). A feature with three points or fewer is skipped.
+
+    Hulls are made once a frame from its landmarks; pixels meet them in a join and are tested by built-in functions.
+    """
+    features = [face, *holes.values()]
+    points = F.collect_list(F.struct("ldmk_id", "y", "x"))
+    frames = landmarks.groupBy("video_id", "frame_idx").agg(points.alias("__points"))
+    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in landmarks.select("video_id", "frame_idx").schema)
+
+    def run(parts):
+        known: dict = {}  # frames with the same places have the same hulls
+        for b in batches.pieces(parts):
+            out = []
+            for row in b.column("__points").to_pylist():
+                name = tuple(sorted(((p["ldmk_id"], p["y"], p["x"]) for p in row), key=str))
+                if name not in known:
+                    if len(known) >= batches.ROWS:
+                        known.clear()
+                    sides = []
+                    for k, ids in enumerate(features):
+                        own = [p for p in row if p["ldmk_id"] in ids]
+                        there = len({p["ldmk_id"] for p in own})
+                        sides.append(_edges(own) if not k or there > 3 else [])
+                    known[name] = [[dict(zip(("ay", "ax", "by", "bx"), e, strict=True)) for e in s] for s in sides]
+                out.append(known[name])
+            side = pa.struct([(n, pa.float64()) for n in ("ay", "ax", "by", "bx")])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.list_(side)))], names=["video_id", "frame_idx", "__hulls"])
+
+    hulls = frames.mapInArrow(run, f"{keys}, __hulls array<array<struct<ay:double,ax:double,by:double,bx:double>>>")
+    y, x = F.col("y").cast("double"), F.col("x").cast("double")
+
+    def inside(k: int):
+        sides = F.get("__hulls", F.lit(k))
+        left = lambda e: (e["by"] - e["ay"]) * (x - e["ax"]) - (e["bx"] - e["ax"]) * (y - e["ay"])
+        return (F.size(sides) > 0) & F.forall(sides, lambda e: (left(e) >= 0) & ~F.isnan(left(e)))
+
+    rows = pixels.join(hulls, ["video_id", "frame_idx"]).filter(inside(0))
+    for k in range(1, len(features)):
+        rows = rows.filter(~inside(k))
+    return rows.select(*pixels.columns)
 
 
 def pixel_correlations(pixels: DataFrame) -> DataFrame:
