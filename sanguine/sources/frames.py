@@ -8,11 +8,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import batches
+
 END = "END"
+_COLOURS = pa.schema([("video_id", pa.string()), ("estimator_id", pa.int32()), ("frame_idx", pa.int64()), ("r", pa.float64()), ("g", pa.float64()), ("b", pa.float64()), ("last", pa.bool_()), ("error", pa.string())])
 _FILE = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -69,23 +72,25 @@ def colours(frames: DataFrame, decode: Callable[[bytes], np.ndarray] = pnm, meas
 
     width: images are brought to it first. An image that can't be decoded, or a frame without a number, is one row with an error; an end is one row.
     """
-    take = measure or (lambda x: x.reshape(-1, 3).mean(0)[None])
+    take = measure or (lambda x: np.add.reduce(x.reshape(-1, 3), 0, np.int64)[None] / (x.size // 3))
 
-    def run(batches):
-        for pdf in batches:
+    def run(parts):
+        for b in batches.pieces(parts, 64):
             out = []
-            for video, idx, content, last in zip(*(pdf[c] for c in ("video_path", "frame_idx", "content", "last")), strict=True):
-                if last:
+            for video, idx, content, last in zip(*(b.column(c) for c in ("video_path", "frame_idx", "content", "last")), strict=True):
+                video, idx = video.as_py(), idx.as_py()
+                if last.as_py():
                     out.append((video, None, None, None, None, None, True, None))
                     continue
                 try:
-                    if pd.isna(idx):
+                    if idx is None:
                         raise ValueError("no number in the name")
-                    x = decode(bytes(content))
+                    x = decode(content.as_py())
                     rgb = np.asarray(take(to_width(x, width) if width else x), float)
-                    out += [(video, k, int(idx), *map(float, c), False, None) for k, c in enumerate(rgb)]
+                    out += [(video, k, idx, *map(float, c), False, None) for k, c in enumerate(rgb)]
                 except Exception as e:  # noqa: BLE001 - kept as a row
-                    out.append((video, None, None if pd.isna(idx) else int(idx), None, None, None, False, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=["video_id", "estimator_id", "frame_idx", "r", "g", "b", "last", "error"]).astype({"estimator_id": "Int32", "frame_idx": "Int64"})
+                    out.append((video, None, idx, None, None, None, False, f"{type(e).__name__}: {e}"))
+            yield pa.RecordBatch.from_pylist([dict(zip(_COLOURS.names, row, strict=True)) for row in out], schema=_COLOURS)
 
-    return frames.select("video_path", "frame_idx", "content", "last").mapInPandas(run, "video_id string, estimator_id int, frame_idx long, r double, g double, b double, last boolean, error string")
+    rows = frames.select("video_path", F.col("frame_idx").cast("long").alias("frame_idx"), "content", "last")
+    return rows.mapInArrow(run, "video_id string, estimator_id int, frame_idx long, r double, g double, b double, last boolean, error string")
