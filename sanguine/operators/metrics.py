@@ -38,27 +38,37 @@ def errors(aligned: DataFrame, keys: tuple[str, ...] = ("video_id", "method"), e
     return aligned.groupBy(*keys).agg(rmse().alias("RMSE"), mae().alias("MAE"), max_error().alias("MAX"), pearson(gt, es).alias("PCC"), concordance(gt, es).alias("CCC"))
 
 
+def snr_of(fps: float, tolerance: float = 12.0):
+    """A function of signals (rows, time) and their true rates (rows): 10 log10 of the power around the rate and its double over the rest."""
+    nfft = int(np.ceil(120 * fps / 2 / 0.5))
+    freqs = dsp.welch(np.zeros((1, 64)), fps, nfft=nfft)[0]
+    return lambda x, rate: dsp.snr_db(dsp.welch(x, fps, nfft=nfft)[1], freqs, rate[:, None], tolerance)
+
+
+def mean_snr(rows: DataFrame, keys: tuple[str, ...] = ("video_id", "method"), value: str = "snr") -> DataFrame:
+    """(keys, SNR): mean over windows of the estimators' median."""
+    return rows.groupBy(*keys, "win_idx").agg(F.median(value).alias("__m")).groupBy(*keys).agg(F.avg("__m").alias("SNR"))
+
+
 def snr(bvps: DataFrame, truth: DataFrame | None, fps: float, keys: tuple[str, ...] = ("video_id", "method"), tolerance: float = 12.0) -> DataFrame:
     """(keys, SNR): mean over windows of the estimators' median of 10 log10 of the power around the true rate and its double over the rest.
 
     truth: (video_id, win_idx, bpm_gt), the true rate of each window; align it by time or by position beforehand. None: bvps have bpm_gt.
     """
-    nfft = int(np.ceil(120 * fps / 2 / 0.5))
-    freqs = dsp.welch(np.zeros((1, 64)), fps, nfft=nfft)[0]
+    decibels = snr_of(fps, tolerance)
     names = [*keys, "win_idx"]
 
     def run(parts):
         for b in batches.pieces(parts):
             out, rate = np.full(b.num_rows, np.nan), b.column("bpm_gt").cast(pa.float64()).to_numpy(zero_copy_only=False)
             for at, x in batches.blocks(b.column("bvp")):
-                power = dsp.welch(x, fps, nfft=nfft)[1]
-                out[at] = dsp.snr_db(power, freqs, rate[at, None], tolerance)
+                out[at] = decibels(x, rate[at])
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(out, from_pandas=True)], names=[*names, "__snr"])
 
     known = bvps if truth is None else bvps.join(truth.select("video_id", "win_idx", "bpm_gt"), ["video_id", "win_idx"])
     types = {f.name: f.dataType.simpleString() for f in known.schema}
     rows = known.select(*names, "bvp", "bpm_gt").mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in names) + ", __snr double")
-    return rows.groupBy(*keys, "win_idx").agg(F.median("__snr").alias("__m")).groupBy(*keys).agg(F.avg("__m").alias("SNR"))
+    return mean_snr(rows, keys, "__snr")
 
 
 def psnr(a: str, b: str) -> Column:

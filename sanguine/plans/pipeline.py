@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import dsp
 from ..operators import align, filters, metrics, pulse, windows
 from .config import JobSpec, MethodSpec
 
@@ -41,14 +42,12 @@ def signals(wins: DataFrame, fps: float, method: MethodSpec, gate: tuple[float,
 
 def estimates(bvps: DataFrame, fps: float, estimate: str = "holistic", min_hz: float = 0.65, max_hz: float = 4.0, motion: DataFrame | None = None, thresholds: dict[str, float] | None = None, overlap: float = 0.8) -> DataFrame:
     """(video_id, method, win_idx, t, bpm, mad) of windowed signals."""
-    freqs = pulse.band_freqs(fps, min_hz, max_hz)
-    spectra = pulse.psd(bvps, fps, min_hz, max_hz, overlap=overlap)
     if estimate == "clustering":
+        spectra = pulse.psd(bvps, fps, min_hz, max_hz, overlap=overlap)
         if motion is not None and thresholds:
             spectra = pulse.attenuated(spectra, motion, thresholds)
-        return pulse.clustered_rates(spectra, freqs).select("video_id", "method", "win_idx", F.col("t_center").alias("t"), "bpm", F.lit(None).cast("double").alias("mad"))
-    rates = pulse.rates(spectra, freqs)
-    return pulse.median_rates(rates).select("video_id", "method", "win_idx", F.col("t_center").alias("t"), "bpm", "mad")
+        return pulse.clustered_rates(spectra, pulse.band_freqs(fps, min_hz, max_hz)).select("video_id", "method", "win_idx", F.col("t_center").alias("t"), "bpm", F.lit(None).cast("double").alias("mad"))
+    return pulse.median_rates(pulse.psd_rates(bvps, fps, min_hz, max_hz, overlap)).select("video_id", "method", "win_idx", F.col("t_center").alias("t"), "bpm", "mad")
 
 
 def window_motion(tracks: DataFrame, fps: float, spec: JobSpec) -> DataFrame:
@@ -63,15 +62,39 @@ def window_motion(tracks: DataFrame, fps: float, spec: JobSpec) -> DataFrame:
 def run(rgb: DataFrame, truth: DataFrame, fps: float, spec: JobSpec, tracks: DataFrame | None = None) -> DataFrame:
     """Videos x methods -> metrics, as result rows (method, dataset, video_id, RMSE, MAE, MAX, PCC, CCC, SNR).
 
-    truth: (video_id, t, bpm). Windows are made once; each method adds a projection of them, and all methods' estimates
-    meet the truth in one alignment and one aggregation. Signals and aligned rates are written to the shared folder, since
-    rates, errors and SNR all read them.
+    truth: (video_id, t, bpm). Windows are made once and get their true rates before the methods, so one pass over them gives all
+    methods' rates and signal-to-noise ratios; only these numbers are written to the shared folder, since errors and SNR read them.
+    Clustering, and filters that are column functions, go by `run_by_signals`.
 
     tracks: (video_id, axis in x, y, z, landmark, frame_idx, value), the landmarks' places. With them and movement_thrs in the
     specification, clustering attenuates the spectra of windows whose motion is over an axis's threshold.
     """
     if spec.videos is not None:
         rgb = rgb.filter(F.col("video_id").isin(*spec.videos))
+    chains = [pulse.chain(m.name, fps, m.params.get("component", "second_comp"), *([(s.name, s.params) for s in own] for own in (m.pre, m.post))) for m in spec.methods]
+    if spec.estimate == "clustering" or None in chains:
+        return run_by_signals(rgb, truth, fps, spec, tracks)
+    times = windows.window_times(rgb, fps, spec.window, spec.stride).select("video_id", "win_idx", F.col("t_center").alias("t"), F.lit(None).cast("double").alias("bpm")).distinct()
+    true = align.nearest(times, truth).select("video_id", "win_idx", "bpm_gt")
+    wins = windows.window_arrays(rgb, fps, spec.window, spec.stride, beside=true)
+    if spec.approach == "patches":
+        wins = filters.estimator_gate(wins, spec.rgb_low, spec.rgb_high)
+    freqs, decibels = pulse.band_freqs(fps, spec.min_hz, spec.max_hz), metrics.snr_of(fps)
+    numbers = {
+        "bpm": lambda x, _: pulse.strongest(dsp.welch(x, fps, spec.min_hz, spec.max_hz)[1], freqs),
+        "snr": lambda x, column: decibels(x, column("bpm_gt").cast("double").to_numpy(zero_copy_only=False)),
+    }
+    got = written(pulse.measured(wins, chains, fps, numbers))
+    es = pulse.median_rates(got, ("video_id", "method", "win_idx", "t_center", "bpm_gt"))
+    errors = metrics.errors(es.withColumn("diff", F.col("bpm_gt") - F.col("bpm")))
+    return errors.join(metrics.mean_snr(got), ["video_id", "method"], "left").withColumn("dataset", F.lit(spec.dataset))
+
+
+def run_by_signals(rgb: DataFrame, truth: DataFrame, fps: float, spec: JobSpec, tracks: DataFrame | None = None) -> DataFrame:
+    """run for any estimate and filters: each method adds a projection of the windows, and all methods' estimates meet the truth in one alignment.
+
+    Signals and aligned rates are written to the shared folder, since rates, errors and SNR all read them.
+    """
     wins = windowed(rgb, fps, spec.window, spec.stride)
     gate = (spec.rgb_low, spec.rgb_high) if spec.approach == "patches" else None
     bvps = None
