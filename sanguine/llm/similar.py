@@ -31,7 +31,10 @@ from .common import as_bytes, cut, parallel, pieces, stored
 from .components import components
 from .simhash import _signed, links, majority, shingles
 
+#: Texts of the sample that tells common shingles, at least, and one in so many of larger tables: a fixed number would let shingles of ever
+#: more texts pass for rare, and the pairs of texts that share one grow as the square.
 SAMPLE = 4096
+ONE_IN = 8
 #: Rounds in which texts of different components meet one by one before all such pairs do; changes the cost, not the result.
 ROUNDS = 2
 #: Pairs for each row that the last step may make without such rounds.
@@ -77,6 +80,10 @@ def prefix(s: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: flo
     return np.concatenate((s[~last], tail))[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1]
 
 
+def sampled(n: int) -> int:
+    return min(n, max(SAMPLE, n // ONE_IN))
+
+
 def _common(rows: DataFrame, width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that three or more texts of a sample have, ascending, and their ranks, the rarest first."""
 
@@ -87,7 +94,7 @@ def _common(rows: DataFrame, width: int, seed: int) -> tuple[np.ndarray, np.ndar
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["h"])
 
     if (n := rows.count()) > SAMPLE:
-        rows = rows.filter(F.xxhash64("__uid") < int(-(2**63) + SAMPLE / n * 2.0**64))
+        rows = rows.filter(F.xxhash64("__uid") < int(-(2**63) + sampled(n) / n * 2.0**64))
     found = rows.select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 2")
     hashes = np.array([r["h"] for r in found.orderBy(F.desc("n"), "h").limit(MOST_COMMON).collect()], np.int64).view(np.uint64)
     order = np.argsort(hashes)
@@ -100,6 +107,20 @@ def _near(na, nb, at_a, at_b, similarity: float):
     return (F.least(na - at_a, nb - at_b) >= least) & (F.least(na, nb) >= similarity * F.greatest(na, nb) - 1e-9)
 
 
+#: The 256 bits of the smallest sketch as columns, which a join's condition can compare.
+FOLDED = ("s0", "s1", "s2", "s3")
+
+
+def folded(s: np.ndarray) -> np.ndarray:
+    return np.packbits(np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1 != 0).view(np.int64)
+
+
+def _alike(na, nb, bits, others, similarity: float):
+    """Whether the folded sketches allow the similarity: they differ in no more bits than the sets have different shingles."""
+    differ = sum(F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(bits, others, strict=True))
+    return differ <= (na + nb) * ((1 - similarity) / (1 + similarity)) + 1e-9
+
+
 def _sketched(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of sets whose sketches allow the similarity."""
 
@@ -244,12 +265,13 @@ def similar_classes(rows: DataFrame, similarity: float = 0.8, width: int = 5, se
                     pa.array([len(s) for s in found], pa.int32()),
                     pa.array([sketch(s) for s in found], pa.binary()),
                     pa.array([prefix(s, shared_common.value, similarity).tobytes() for s in found], pa.binary()),
+                    *(pa.array(x) for x in np.array([folded(s) for s in found], np.int64).reshape(-1, 4).T.copy()),
                 ]
-                yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["__uid", "fp", "key", "n", "sketch", "prefix"])
+                yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["__uid", "fp", "key", "n", "sketch", "prefix", *FOLDED])
 
-    every = stored(rows.select("__uid", "text").mapInArrow(run, "__uid long, fp long, key long, n int, sketch binary, prefix binary"))
+    every = stored(rows.select("__uid", "text").mapInArrow(run, "__uid long, fp long, key long, n int, sketch binary, prefix binary, " + ", ".join(f"{c} long" for c in FOLDED)))
     sets = every.join(every.groupBy("key").agg(F.min("__uid").alias("__uid")).select("__uid"), "__uid", "left_semi")  # one row of equal sets
-    small = cut(sets.select("key", "__uid", "fp", "n", "sketch"))
+    small = cut(sets.select("key", "__uid", "fp", "n", "sketch", *FOLDED))
     shared = stored(_shared(sets))
 
     near = _near(F.col("n"), F.col("nb"), F.col("at"), F.col("bt"), similarity)
@@ -271,9 +293,13 @@ def similar_classes(rows: DataFrame, similarity: float = 0.8, width: int = 5, se
             apart = _apart(apart, edges)
         if n < LINKED * texts:  # texts that share shingles and are not similar
             break
-    # of a shingle's texts, those in its largest component need to meet the others only
-    other = apart.select("h", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("at").alias("bt"), F.col("label").alias("lb"), (F.col("label") == F.col("large")).alias("main"))
-    met = apart.filter("label != large").join(other, "h").filter((F.col("label") != F.col("lb")) & (F.col("main") | (F.col("key") < F.col("b"))) & near)
+    # of a shingle's texts, those in its largest component need to meet the others only; texts that share shingles and are not similar
+    # meet within the join alone, by their folded sketches
+    apart = apart.join(small.select("key", *FOLDED), "key")
+    others = [f"b{c}" for c in FOLDED]
+    other = apart.select("h", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("at").alias("bt"), F.col("label").alias("lb"), (F.col("label") == F.col("large")).alias("main"), *[F.col(c).alias(o) for c, o in zip(FOLDED, others, strict=True)])
+    possible = near & _alike(F.col("n"), F.col("nb"), FOLDED, others, similarity)
+    met = apart.filter("label != large").join(other, "h").filter((F.col("label") != F.col("lb")) & (F.col("main") | (F.col("key") < F.col("b"))) & possible)
     edges = edges.unionByName(_verified(ordered(met), rows, small, similarity, width, seed))
     return _labelled(every.select("__uid", "key"), edges).select("__uid", F.col("label").alias("__class"))
 
