@@ -24,6 +24,18 @@ def test_numpy_gets_few_rows_at_once(spark):
     assert got.selectExpr("max(n[0])").first()[0] <= batches.ROWS and got.count() == 3000
 
 
+@pytest.mark.parametrize("made", [pulse.causal_bandpass(10.0, 0.8, 4.0), pulse.detrend(100.0, True)])
+def test_a_tasks_memory_does_not_follow_its_rows(spark, made):
+    def own_mb(x):
+        made.function(x)
+        return np.full((len(x), 1), next(int(line.split()[1]) for line in open("/proc/self/status") if line.startswith("RssAnon")) / 1024)
+
+    rows = spark.range(0, 200_000, 1, 1).selectExpr("id", "transform(sequence(0, 79), k -> CAST((id * 7 + k * k) % 101 AS DOUBLE)) x")
+    got = pulse.ArrayFunction(own_mb).over(rows, {"x": "x"}).groupBy((F.col("id") >= 20_000).alias("late")).agg(F.max(F.col("x")[0]).alias("mb"))
+    peak = {r.late: r.mb for r in got.collect()}
+    assert peak[True] < peak[False] + 40  # the later rows alone have 115 MB
+
+
 def test_lengths_nulls_and_short_signals(spark):
     rows = spark.createDataFrame([(0, [1.0, None]), (1, None), (2, [3.0]), (3, []), (4, [5.0, 6.0])], "id int, x array<double>")
 
