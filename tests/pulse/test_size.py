@@ -116,6 +116,19 @@ def test_pairs_of_a_window_come_in_blocks(spark, monkeypatch):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_a_windows_rows_are_sent_a_bounded_number_of_times(spark, monkeypatch):
+    monkeypatch.setattr(align, "SIDE", 4)
+    rows = spark.range(800).selectExpr("id", "CAST(IF(id < 700, 1, 2) AS INT) w", "array(CAST(1 + id % 7 AS FLOAT), CAST(id % 5 AS FLOAT), 0.5F) x")
+    met = align._met(rows, ("w",), "id").groupBy("w", "__i", "__j").agg(F.collect_set("id").alias("ids")).collect()
+    assert sum(len(r.ids) for r in met) == 700 * 16 + 100 * 15  # by blocks of 4 rows a side 700 x 2 x 175 alone
+    alone = {(r.w, r["__i"]): set(r.ids) for r in met if r["__i"] == r["__j"]}
+    assert all(set(r.ids) == alone[r.w, r["__i"]] | alone[r.w, r["__j"]] for r in met) and len(met) == 16 * 17 / 2 + 15 * 16 / 2
+    got = align.cosine_pairs(rows.withColumnRenamed("id", "estimator_id"), ("w",), vector="x")
+    wide = align.cosine_pairs(rows.selectExpr("id estimator_id", "w", "CAST(x AS array<double>) x"), ("w",), vector="x")
+    assert got.count() == got.select("w", "i", "j").distinct().count() == 700 * 700 + 100 * 100
+    assert got.join(wide.withColumnRenamed("distance", "d"), ["w", "i", "j"]).filter("abs(distance - d) < 1e-12").count() == 500_000
+
+
 def test_hulls_of_frames(spark):
     px = spark.createDataFrame([(1, 0, y, x) for y in range(6) for x in range(6)] + [(2, 0, 1, 1)], "video_id int, frame_idx int, y int, x int")
     at = {1: (0, 0), 2: (0, 5), 3: (5, 5), 4: (5, 0), 5: (2, 2), 6: (2, 3), 7: (3, 3), 8: (3, 2)}
