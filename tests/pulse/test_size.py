@@ -105,6 +105,17 @@ def test_one_folder_is_paired_by_many_tasks(spark):
     assert sum(per) == 6_000_000 and max(per) < 6_000_000
 
 
+def test_a_folders_files_are_sent_a_bounded_number_of_times(spark, monkeypatch):
+    monkeypatch.setattr(align, "SIDE", 4)
+    v = spark.range(800).selectExpr("concat('d/v', id) path")
+    s = spark.range(50).selectExpr("concat('d/s', id) path")
+    sides = align._dealt(v.selectExpr("path", "'d' folder"), s.selectExpr("path", "'d' folder"), ("folder",), "path", "path")
+    assert [x.count() for x in sides] == [800 * 4, 50 * 62]  # by blocks of 4 rows a side 800 x 13 and 50 x 200
+    got = align.paired_files(v, s)
+    assert got.count() == got.distinct().count() == 40_000
+    assert "SortMergeJoin" in plan(got)
+
+
 def test_pairs_of_a_window_come_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(align, "SIDE", 7)
     x = np.random.default_rng(7).normal(size=(40, 5)).round(3)
